@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import bpe, mixing, rules
 
 QUERIES = {
     "op7_pareto_mix": mixing.query,
+    "op8_bpe": bpe.query,
     "op10_compression_rules": rules.query,
 }
 SQL: dict[str, str] = {}
