@@ -93,7 +93,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     odds = F.col("u") / (1 - F.col("u")) * (1 - p) / p
     d = (
         d.join(plan, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("rank_key", F.when(p > 0, odds / (1 + odds)).otherwise(1.0))  # in [0, 1], monotone in the Pareto key
+        .withColumn("rank_key", F.when(p > 0, odds / (1 + odds)).otherwise(F.col("u")))  # in [0, 1], monotone in the Pareto key
         .withColumn("bucket", F.least(F.floor(F.col("rank_key") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     )
     by_bucket = W.partitionBy("s").orderBy("bucket")
