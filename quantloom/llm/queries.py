@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, rules
+from . import bpe, minhash, mixing, rules
 
 QUERIES = {
+    "op2_hyperminhash": minhash.query,
     "op7_pareto_mix": mixing.query,
     "op8_bpe": bpe.query,
     "op10_compression_rules": rules.query,
