@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, rules
+from . import bpe, minhash, mixing, rules, suffix
 
 QUERIES = {
     "op2_hyperminhash": minhash.query,
+    "op5_suffix_intervals": suffix.query,
     "op7_pareto_mix": mixing.query,
     "op8_bpe": bpe.query,
     "op10_compression_rules": rules.query,
