@@ -35,7 +35,7 @@ from . import _text as X
 from ._store import stash
 
 #: Bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 30 << 20
 LETTER, NUMBER, BLANK, OTHER = range(4)
 
 
@@ -112,9 +112,14 @@ def slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.cumsum(step)]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 9) -> bytes:
     raw = b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Byte planes of the differences of ascending numbers."""
+    return _planes(np.diff(ascending, prepend=0))
 
 
 def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -226,7 +231,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
                 for k in range(n_buckets):
                     at = order[cuts[k] : cuts[k + 1]]
                     if len(at):
-                        part = _pack(at.astype("<u4"), lengths[at], slices(raw, starts[at], lengths[at].astype(np.int64)))
+                        part = _pack(_steps(at), _planes(lengths[at]), slices(raw, starts[at], lengths[at].astype(np.int64)))
                         yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([block]), pa.array([part], pa.binary())], names=["bucket", "block", "part"])
 
     def encode_bucket(table: pa.Table) -> pa.Table:
@@ -237,15 +242,15 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
         known: dict[bytes, np.ndarray] = {}
         out = []
         for blob in table.column("part").to_pylist():
-            at, lengths, raw = _unpack(blob, "<u4", "<u4", np.uint8)
+            at, lengths, raw = _unpack(blob, np.uint8, np.uint8, np.uint8)
             ids = []
-            for w in _split(lengths, raw):
+            for w in _split(_numbers(lengths), raw):
                 got = known.get(w)
                 if got is None:
                     got = known[w] = np.array(enc.encode_ordinary(w.decode()), "<u4")
                 ids.append(got)
             n = np.fromiter(map(len, ids), np.uint32, len(ids))
-            out.append(_pack(at, n, np.concatenate(ids) if ids else np.zeros(0, "<u4")))
+            out.append(_pack(at, _planes(n), _planes(np.concatenate(ids))))
         return pa.table({"block": table.column("block"), "ids": pa.array(out, pa.binary())})
 
     coded = blocks.select("block", "words").mapInArrow(deal, "bucket long, block long, part binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, ids binary")
@@ -255,10 +260,11 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
 
     def join_block(block: pa.Table, found: pa.Table) -> pa.Table:
         table = _byte_table(ranks)
-        parts = [_unpack(x, "<u4", "<u4", "<u4") for x in found.column("ids").to_pylist()]
+        parts = [[_numbers(p) for p in _unpack(x, np.uint8, np.uint8, np.uint8)] for x in found.column("ids").to_pylist()]
         size = sum(len(p[0]) for p in parts)
         counts, spelled, decoded, numbers = np.zeros(size, np.int64), [b""] * size, [b""] * size, [None] * size
-        for at, n, ids in parts:
+        for steps, n, ids in parts:
+            at = np.cumsum(steps.astype(np.int64))
             counts[at] = n
             ids_list, end = ids.tolist(), 0
             for w, k in zip(at.tolist(), n.tolist(), strict=True):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, rules, suffix
+from . import bpe, crosspoly, minhash, mixing, rules, suffix
 
 QUERIES = {
     "op2_hyperminhash": minhash.query,
     "op5_suffix_intervals": suffix.query,
+    "op6_cross_polytope": crosspoly.query,
     "op7_pareto_mix": mixing.query,
     "op8_bpe": bpe.query,
     "op10_compression_rules": rules.query,
