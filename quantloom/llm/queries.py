@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, crosspoly, minhash, mixing, rules, suffix
+from . import bpe, crosspoly, minhash, mixing, rules, suffix, urls
 
 QUERIES = {
+    "op1_url_reputation": urls.query,
     "op2_hyperminhash": minhash.query,
     "op5_suffix_intervals": suffix.query,
     "op6_cross_polytope": crosspoly.query,
@@ -12,4 +13,6 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op10_compression_rules": rules.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_reputation": urls.SQL,
+}
