@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, crosspoly, minhash, mixing, rules, suffix, urls
+from . import bpe, crosspoly, minhash, mixing, quality, rules, suffix, toxicity, urls
 
 QUERIES = {
     "op1_url_reputation": urls.query,
     "op2_hyperminhash": minhash.query,
+    "op3_gam_quality": quality.query,
     "op5_suffix_intervals": suffix.query,
     "op6_cross_polytope": crosspoly.query,
     "op7_pareto_mix": mixing.query,
     "op8_bpe": bpe.query,
+    "op9_toxic_neighbours": toxicity.query,
     "op10_compression_rules": rules.query,
 }
 SQL: dict[str, str] = {
