@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, crosspoly, minhash, mixing, quality, rules, suffix, toxicity, urls
+from . import bpe, crosspoly, lines, minhash, mixing, quality, rules, suffix, toxicity, urls
 
 QUERIES = {
     "op1_url_reputation": urls.query,
     "op2_hyperminhash": minhash.query,
     "op3_gam_quality": quality.query,
+    "op4_fuzzy_lines": lines.query,
     "op5_suffix_intervals": suffix.query,
     "op6_cross_polytope": crosspoly.query,
     "op7_pareto_mix": mixing.query,
