@@ -56,9 +56,9 @@ def generalization_score(df: DataFrame, r: str, keys: Sequence[str], order: Sequ
     # the last period takes the remainder; a series shorter than the periods is one period
     size = F.greatest(F.floor(F.col("n") / periods), F.lit(1))
     p = F.when(F.col("n") < periods, 0).otherwise(F.least(F.floor(F.col("k") / size), F.lit(periods - 1)))
-    by_period = d.withColumn("p", p).groupBy(*keys, "p").agg(F.sum("r").alias("s"), F.count("r").alias("c"), F.sum(F.col("r") * F.col("r")).alias("q"), F.max("drawdown").alias("dd"))
+    by_period = d.withColumn("__p", p).groupBy(*keys, "__p").agg(F.sum("r").alias("__sum"), F.max("drawdown").alias("__dd"))
     mean = d.groupBy(*keys).agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.count("r").alias("n"))
-    agg = by_period.groupBy(*keys).agg(F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("share"), F.max("dd").alias("dd")).join(mean, list(keys))
+    agg = by_period.groupBy(*keys).agg(F.avg(F.when(F.col("__sum") > 0, 1.0).otherwise(0.0)).alias("share"), F.max("__dd").alias("dd")).join(mean, list(keys))
     sharpe = F.when(F.col("sd") > 0, F.col("m") / F.col("sd") * F.sqrt(F.lit(days))).otherwise(0.0)
     t = F.when(F.col("sd") > 0, F.col("m") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))).otherwise(0.0)
     a, b, c, e = weights
