@@ -35,7 +35,7 @@ from . import _text as X
 from ._store import stash
 
 #: Bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 30 << 20
+BLOCK_BYTES = 28 << 20
 LETTER, NUMBER, BLANK, OTHER = range(4)
 
 
@@ -142,29 +142,31 @@ def _numbers(planes: np.ndarray) -> np.ndarray:
 
 def _block(text: pa.Array) -> tuple[bytes, bytes]:
     """Packed positions (words of each document, word numbers) and vocabulary (lengths, bytes) of a block."""
-    hashes, counts, reps = [], [], []
+    # numbers of words within a chunk come first, so that no array of hashes is as long as the block
+    codes, counts, reps = [], [], []
     for i, j, data, offs in X.chunks(text):
         s, e, doc = pretokens(data, offs)
-        h = X.span_hash(X.prefix_hash(data), s, e)
         counts.append(np.bincount(doc, minlength=j - i))
-        hashes.append(h)
-        u, first = np.unique(h, return_index=True)
-        reps.append((u, e[first] - s[first], slices(data, s[first], e[first] - s[first])))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    u, code, often = np.unique(h, return_inverse=True, return_counts=True)
+        u, first, own, times = np.unique(X.span_hash(X.prefix_hash(data), s, e), return_index=True, return_inverse=True, return_counts=True)
+        codes.append(own.astype(np.uint32))
+        reps.append((u, e[first] - s[first], slices(data, s[first], e[first] - s[first]), times))
+    hashes = np.concatenate([r[0] for r in reps]) if reps else np.zeros(0, np.uint64)
+    u, pick, code = np.unique(hashes, return_index=True, return_inverse=True)
+    often = np.bincount(code, np.concatenate([r[3] for r in reps]) if reps else None, len(u))
     rank = np.empty(len(u), np.int64)
     order = np.argsort(-often, kind="stable")
     rank[order] = np.arange(len(u))
     # each distinct word's bytes from the first chunk that has it
-    all_u = np.concatenate([r[0] for r in reps]) if reps else np.zeros(0, np.uint64)
     all_len = np.concatenate([r[1] for r in reps]) if reps else np.zeros(0, np.int64)
     all_bytes = np.concatenate([r[2] for r in reps]) if reps else np.zeros(0, np.uint8)
-    _, pick = np.unique(all_u, return_index=True)
     pick = pick[order]
+    at = np.cumsum([0, *(len(r[0]) for r in reps)])
+    numbers = rank[code].astype(np.uint32)
+    place = np.concatenate([numbers[at[k] : at[k + 1]][c] for k, c in enumerate(codes)]) if codes else np.zeros(0, np.uint32)
     ends = np.cumsum(all_len)
     words = slices(all_bytes, ends[pick] - all_len[pick], all_len[pick])
     lens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    return _pack(lens.astype(np.int64), _planes(rank[code])), _pack(all_len[pick].astype("<u4"), words)
+    return _pack(lens.astype(np.int64), _planes(place)), _pack(all_len[pick].astype("<u4"), words)
 
 
 def _split(lengths: np.ndarray, raw: np.ndarray) -> list[bytes]:
@@ -181,7 +183,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, with_ids: bool = False) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each row; with_ids adds ids array<int> and decoded binary.
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each row; with_ids adds ids array<int>.
 
     ranks_path: the rank file, read by the driver; its size is fixed.
     """
@@ -205,6 +207,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
                 texts = pa.concat_arrays(texts.chunks)
             places, words = _block(texts)
             number, kept, size = number + 1, [], 0
+            X.trim()
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([places], pa.binary()), pa.array([words], pa.binary())], names=["block", "keys", "places", "words"])
 
         for b in batches:
@@ -256,24 +259,26 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
     coded = blocks.select("block", "words").mapInArrow(deal, "bucket long, block long, part binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, ids binary")
     fields = [T.StructField(key, key_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+        fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
     def join_block(block: pa.Table, found: pa.Table) -> pa.Table:
         table = _byte_table(ranks)
         parts = [[_numbers(p) for p in _unpack(x, np.uint8, np.uint8, np.uint8)] for x in found.column("ids").to_pylist()]
         size = sum(len(p[0]) for p in parts)
-        counts, spelled, decoded, numbers = np.zeros(size, np.int64), [b""] * size, [b""] * size, [None] * size
+        counts, begins, spelled, decoded = np.zeros(size, np.int64), np.zeros(size, np.int64), [b""] * size, [b""] * size
+        flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
+        base = 0
         for steps, n, ids in parts:
             at = np.cumsum(steps.astype(np.int64))
             counts[at] = n
+            begins[at] = base + np.cumsum(n.astype(np.int64)) - n
+            base += len(ids)
             ids_list, end = ids.tolist(), 0
             for w, k in zip(at.tolist(), n.tolist(), strict=True):
                 own = ids_list[end : end + k]
                 end += k
                 spelled[w] = ",".join(map(str, own)).encode()
                 decoded[w] = b"".join([table[i] for i in own])
-                if with_ids:
-                    numbers[w] = own
         rows: dict[str, list] = {f.name: [] for f in fields[1:]}
         for blob in block.column("places").to_pylist():
             lens, planes = _unpack(blob, np.int64, np.uint8)
@@ -287,11 +292,12 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
                 rows["ids_sha256"].append(hashlib.sha256(b",".join([spelled[c] for c in listed])).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
                 if with_ids:
-                    rows["ids"].append([i for c in listed for i in numbers[c]])
-                    rows["decoded"].append(raw)
+                    rows["ids"].append(slices(flat, begins[own], counts[own]).astype(np.int32))
+        codes = spelled = decoded = None
+        X.trim()
         keys = block.column("keys").combine_chunks()
         keys = keys.flatten() if isinstance(keys, pa.ListArray) else pa.concat_arrays([c.flatten() for c in keys.chunks])
-        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         return pa.table({key: keys, **{c: pa.array(v, types.get(c, pa.string())) for c, v in rows.items()}})
 
     return blocks.select("block", "keys", "places").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_block, T.StructType(fields))

@@ -143,6 +143,7 @@ def judge(df: DataFrame, text: str = "text", bands=BANDS, chunk=CHUNK, min_words
                     cols[c].append(got[c])
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.concatenate(v)) for v in cols.values())], names=[*names, *cols])
+            X.trim()
 
     return df.mapInArrow(run, schema)
 
