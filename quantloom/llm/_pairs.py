@@ -26,6 +26,21 @@ BLOCK = 512
 Compare = Callable[[list[bytes], list[bytes]], np.ndarray]
 
 
+class Search:
+    """How the second pass looks for links in a block: rows that find() gives and test() confirms are true links."""
+
+    def prepare(self, notes: pa.ChunkedArray):
+        raise NotImplementedError
+
+    def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
+        """A mask of j: which of these rows i may link to."""
+        raise NotImplementedError
+
+    def test(self, ready, i: int, k: int) -> bool:
+        """Whether a row that find() gave is a true link."""
+        return True
+
+
 def star(keys: DataFrame) -> DataFrame:
     """(key, id, lead, n) for the rows (key, id) of buckets of two or more ids; both sides stay numbers."""
     led = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
@@ -46,18 +61,18 @@ def screen(pairs: DataFrame, notes: DataFrame, compare: Compare) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def rest(buckets: DataFrame, comps: DataFrame, notes: DataFrame, compare: Compare, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket, pass ``compare``, and were not a pair with the leader.
+def rest(buckets: DataFrame, comps: DataFrame, texts: DataFrame, search: Search, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join different components, of pairs that share a bucket and were not compared yet.
 
-    buckets: star()'s rows of buckets of three or more; comps: (id, comp).
-    Buckets with equal members are searched once.
+    buckets: star()'s rows of buckets of three or more; comps: (id, comp);
+    texts: (id, note) for search. Buckets with equal members are searched once.
     """
     own = comps.select("id", "comp")
     lead_of = comps.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
     b = (
         buckets.join(own, "id", "left")
         .join(lead_of, "lead", "left")
-        .select("key", "id", "lead", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("lead_comp", "lead").alias("lead_comp"))
+        .select("key", "id", "lead", F.coalesce("comp", "id").alias("comp"), F.coalesce("lead_comp", "lead").alias("lead_comp"))
         .withColumn("out", F.col("comp") != F.col("lead_comp"))
     )
     # buckets with members outside the leader's component, one of those with the same members
@@ -69,51 +84,66 @@ def rest(buckets: DataFrame, comps: DataFrame, notes: DataFrame, compare: Compar
         .agg(F.min("key").alias("key"), F.max("n_out").alias("n_out"))
         .select("key", F.ceil(F.col("n") / block).cast("int").alias("n_all"), F.ceil(F.col("n_out") / block).cast("int").alias("n_query"))
     )
-    b = b.select("key", "id", "lead", "comp", "out").join(mixed, "key").join(notes, "id")
+    b = b.join(mixed, "key").join(texts, "id")
     part = lambda c: F.pmod(F.xxhash64("id", F.lit(3)), F.col(c)).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    query = b.filter("out").withColumn("qi", part("n_query")).withColumn("ai", spread("n_all")).withColumn("query", F.lit(True))
-    every = b.withColumn("ai", part("n_all")).withColumn("qi", spread("n_query")).withColumn("query", F.lit(False))
-    rows = query.select("key", "qi", "ai", "id", "lead", "comp", "query", "note").unionByName(every.select("key", "qi", "ai", "id", "lead", "comp", "query", "note"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda q, a, asks: F.struct(q.alias("qi"), a.alias("ai"), F.lit(asks).alias("query"))
+    answers = F.transform(upto("n_query"), lambda q: place(q, part("n_all"), False))
+    asks = F.when(F.col("out"), F.transform(upto("n_all"), lambda a: place(part("n_query"), a, True))).otherwise(F.array().cast("array<struct<qi:int,ai:int,query:boolean>>"))
+    rows = b.select("key", "id", "lead", "comp", "note", F.explode(F.concat(answers, asks)).alias("at")).select("key", "at.*", "id", "lead", "comp", "note")
 
     def cell(t: pa.Table) -> pa.Table:
         asks = np.asarray(t.column("query").to_pylist(), bool)
-        ids = t.column("id").to_numpy()
-        comp, lead = t.column("comp").to_numpy(), t.column("lead").to_numpy()
-        note = t.column("note").to_pylist()
-        q, w = np.flatnonzero(asks), np.flatnonzero(~asks)
+        ids, comp, lead = (t.column(c).to_numpy() for c in ("id", "comp", "lead"))
+        w = np.flatnonzero(~asks)
+        q = np.flatnonzero(asks & (ids != lead))
+        ready = search.prepare(t.column("note"))
+        label = {c: c for c in np.unique(comp).tolist()}
+
+        def top(c: int) -> int:
+            while label[c] != c:
+                c = label[c]
+            return c
+
         found_a, found_b = [], []
         for i in q:
-            if ids[i] == lead[i]:
-                continue
-            # leaders were compared; of two query members the smaller id asks
+            # leaders were compared already
             j = w[(comp[w] != comp[i]) & (ids[w] != lead[w])]
-            if len(j):
-                j = j[compare([note[i]] * len(j), [note[x] for x in j])]
-                found_a.append(np.minimum(ids[i], ids[j]))
-                found_b.append(np.maximum(ids[i], ids[j]))
+            if not len(j):
+                continue
+            j = j[search.find(ready, i, j)]
+            one = []  # one link is enough to join two components
+            for k in j.tolist():
+                x, y = top(int(comp[i])), top(int(comp[k]))
+                if x != y and search.test(ready, i, k):
+                    label[max(x, y)] = min(x, y)
+                    one.append(k)
+            j = np.array(one, np.int64)
+            found_a.append(np.minimum(ids[i], ids[j]))
+            found_b.append(np.maximum(ids[i], ids[j]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate(found_a) if found_a else none, "b": np.concatenate(found_b) if found_b else none})
 
     return rows.groupBy("key", "qi", "ai").applyInArrow(cell, "a long, b long").distinct()
 
 
-def link(keys: DataFrame, notes: DataFrame, compare: Compare, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def link(keys: DataFrame, notes: DataFrame, compare: Compare, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], search: Search) -> DataFrame:
     """(id, comp) for the ids that have links.
 
-    keys: (key long, id long), an id once in a bucket; notes: (id, note); verify
-    takes pairs (a, b) and a name and returns the true links of them.
+    keys: (key long, id long), an id once in a bucket; notes: (id, note) for
+    compare(), the screen of the first pass; fetch(ids) gives (id, note), what
+    ids are verified by, and is called once, for the ids of screened pairs and
+    of buckets of three or more; verify(pairs (a, b), texts) gives the true links.
     """
     buckets = stash(star(keys), "buckets")
     pairs = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = stash(verify(stash(screen(pairs, notes, compare), "pairs"), "first"), "linked")
-    comps = components(links)
-    more = stash(rest(buckets.filter("n >= 3"), comps, notes, compare), "more")
+    pairs = stash(screen(pairs, notes, compare), "pairs")
+    larger = buckets.filter("n >= 3")
+    texts = stash(fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(larger.select("id")).distinct()), "texts")
+    comps = components(stash(verify(pairs, texts), "linked"))
+    more = stash(rest(larger, comps, texts, search), "more")
     if more.isEmpty():
         return comps
-    found = stash(verify(more, "second"), "linked")
-    if found.isEmpty():
-        return comps
     # first components shrink to their labels
-    joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(found.select("a", "b"))
+    joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
     return components(joined)

@@ -5,7 +5,7 @@ to 0, ASCII punctuation dropped, white space to single spaces). Equal lines are
 one from the start. Different lines get a SimHash of 128 bits from their words;
 lines that agree in one of ``BLOCKS`` blocks of ``BLOCK_BITS`` bits meet, and
 candidates within ``FAR`` bits are verified: the edit distance of the
-normalised lines is at most 1 - ``least`` of the longer one. Of each connected
+normalised lines, counted in words, is at most 1 - ``least`` of the longer one. Of each connected
 group the first occurrence by (doc_id, text hash, line number) stays; all other
 occurrences are taken out of their documents.
 
@@ -25,15 +25,17 @@ named n_lines or n_removed are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
 from ._pairs import Search, link
-from ._store import stash
+from ._store import packed, stash
 
 MIN_WORDS = 5
 BLOCKS, BLOCK_BITS, FAR = 5, 25, 32
@@ -52,7 +54,7 @@ def normal(line: bytes) -> bytes:
 
 
 def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, its bytes and SimHash."""
+    """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, its words and SimHash."""
     keep = ~_PUNCT[data]
     before = np.concatenate(([0], np.cumsum(keep)))
     low, at = _NORM[data[keep]], before[offs]
@@ -75,21 +77,30 @@ def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -
     base, inv = X._powers(len(h) + 1)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * base[:-1])))
     mark = X.mix((prefix[last] - prefix[first]) * inv[first] + (last - first).astype(np.uint64))
-    size = np.add.reduceat(np.append(e - s, 0), np.stack((first, last), 1).ravel())[::2] + (last - first) - 1
+    size = last - first
     sim = np.empty((len(first), 16), np.uint8)
-    step = 1 << 16
-    for a in range(0, len(first), step):  # in parts, the bits of all words are large
-        f, z = first[a : a + step], last[a : a + step]
+    a = 0
+    while a < len(first):  # in parts of about 2**15 words, or one longer line: the bits of all words are large
+        stop = max(a + 1, int(np.searchsorted(last, first[a] + (1 << 15), "right")))
+        f, z = first[a:stop], last[a:stop]
         lo = f[0]
         own = h[lo : z[-1]]
         bits = np.unpackbits(np.stack((own, X.mix(own + np.uint64(0x51ED270B)))).T.copy().view(np.uint8).reshape(len(own), 16), axis=1)
         ones = np.add.reduceat(np.concatenate((bits, np.zeros((1, 128), np.uint8))), np.stack((f - lo, z - lo), 1).ravel(), axis=0, dtype=np.int32)[::2]
-        sim[a : a + step] = np.packbits(2 * ones >= (z - f)[:, None], axis=1)
+        sim[a:stop] = np.packbits(2 * ones >= (z - f)[:, None], axis=1)
+        a = stop
     return doc[first], line[first], mark.view(np.int64), size, sim
 
 
-def distance(a: bytes, b: bytes, most: int) -> int:
-    """The edit distance of two byte strings by bit-parallel columns; any number over ``most`` if it is larger."""
+def distance(a: Sequence, b: Sequence, most: int) -> int:
+    """The edit distance of two sequences by bit-parallel columns; any number over ``most`` if it is larger."""
+    k, end = 0, min(len(a), len(b))
+    while k < end and a[k] == b[k]:
+        k += 1
+    j = 0
+    while j < end - k and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[k : len(a) - j], b[k : len(b) - j]
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > most:
@@ -97,7 +108,7 @@ def distance(a: bytes, b: bytes, most: int) -> int:
     m = len(a)
     if not len(b):
         return m
-    where: dict[int, int] = {}
+    where: dict = {}
     bit = 1
     for c in a:
         where[c] = where.get(c, 0) | bit
@@ -124,6 +135,8 @@ def distance(a: bytes, b: bytes, most: int) -> int:
 
 
 def near(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two normalised lines have an edit similarity of ``least`` in words."""
+    a, b = a.split(b" "), b.split(b" ")
     most = int(round((1 - least) * max(len(a), len(b)), 9))
     return distance(a, b, most) <= most
 
@@ -133,7 +146,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _close(least: float):
-    """compare() for _pairs: notes are 16 bytes of SimHash and 8 of length."""
+    """compare() for _pairs: notes are 16 bytes of SimHash and 8 of the number of words."""
 
     def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
         a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), 24) for x in (left, right))
@@ -146,15 +159,13 @@ def _close(least: float):
 class _Edit(Search):
     """Links by edit similarity: notes are 16 bytes of SimHash and the normalised line."""
 
-    exact = True
-
     def __init__(self, least: float):
         self.least = least
 
     def prepare(self, notes: pa.ChunkedArray):
         raw = notes.to_pylist()
         sim = np.frombuffer(b"".join(x[:16] for x in raw), np.uint8).reshape(len(raw), 16)
-        return sim, np.array([len(x) - 16 for x in raw]), raw
+        return sim, np.array([x.count(b" ", 16) + 1 for x in raw]), raw
 
     def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
         sim, n, _ = ready
@@ -177,6 +188,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
                     raw = np.concatenate((sim, size.astype("<i8").view(np.uint8).reshape(-1, 8)), axis=1).tobytes()
                     note = pa.Array.from_buffers(pa.binary(24), len(doc), [None, pa.py_buffer(raw)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h), note], names=["doc_id", "th", "line", "id", "note"])
+            X.trim()
 
     lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long, note binary"), "lines")
     place = F.struct("doc_id", "th", "line")
@@ -192,25 +204,25 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
 
     keys = known.select("id", "note").mapInArrow(keyed, "key long, id long")
 
-    def texts(ids: DataFrame) -> DataFrame:
+    def fetch(ids: DataFrame) -> DataFrame:
         """(id, note): SimHash and normalised line of ids, from their first occurrences."""
         asks = known.join(ids, "id").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_list(F.struct("id", "first.line", F.substring("note", 1, 16).alias("sim"))).alias("asks"))
-        both = docs.dropDuplicates(["doc_id", "th"]).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("text", "asks")
+        both = packed(docs).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("z", "asks")
 
         def cut(batches):
             for b in batches:
                 ids, notes = [], []
-                for text, asked in zip(b.column("text"), b.column("asks").to_pylist(), strict=True):
-                    own = text.as_buffer().to_pybytes().split(b"\n")
+                unpack = zstandard.ZstdDecompressor()
+                for z, asked in zip(b.column("z"), b.column("asks").to_pylist(), strict=True):
+                    own = unpack.decompress(z.as_buffer()).split(b"\n")
                     for x in asked:
                         ids.append(x["id"])
                         notes.append(x["sim"] + normal(own[x["line"]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(notes, pa.binary())], names=["id", "note"])
 
-        return both.mapInArrow(cut, "id long, note binary")
+        return both.mapInArrow(cut, "id long, note binary").dropDuplicates(["id"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        found = stash(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "line_texts")
+    def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
         both = pairs.join(found.select(F.col("id").alias("a"), F.col("note").alias("na")), "a").join(found.select(F.col("id").alias("b"), F.col("note").alias("nb")), "b")
 
         def test(batches):
@@ -220,7 +232,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
 
         return both.select("a", "b", "na", "nb").mapInArrow(test, "a long, b long")
 
-    comps = link(keys, known.select("id", "note"), _close(least), verify, texts, _Edit(least))
+    comps = link(keys, known.select("id", "note"), _close(least), fetch, verify, _Edit(least))
     group = F.coalesce("comp", "id")
     firsts = known.join(comps, "id", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
     ids = known.select("id").join(comps, "id", "left").select("id", group.alias("group")).join(firsts, "group").select("id", "first")

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._pairs import link
-from ._store import stash
+from ._pairs import Search, link
+from ._store import packed, stash, unpacked
 
 REGISTERS, BANDS = 128, 32
 MANTISSA = 10
@@ -120,6 +120,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
                 width = 8 + 2 * REGISTERS
                 notes = [note[k * width : (k + 1) * width] for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([t.column("id").slice(i, j - i), pa.array(n), pa.array(marks, pa.binary()), pa.array(notes, pa.binary())], names=["id", "n", "mark", "note"])
+            X.trim()
 
     found = stash(docs.mapInArrow(sketch, "id long, n long, mark binary, note binary"), "sketches")
     valid = found.filter("n > 0 and id is not null")
@@ -132,27 +133,28 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     rows = 2 * REGISTERS // BANDS
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(note, 9 + b * {rows}, {rows})))")
     keys = notes.select(F.explode(F.array_distinct(band)).alias("key"), "id").distinct()
-    texts = docs.filter("id is not null")
 
-    def verify(pairs: DataFrame, _: str) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    def fetch(ids: DataFrame) -> DataFrame:
+        return packed(docs.filter("id is not null"), "text", "note").join(ids, "id")
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        a = texts.select(F.col("id").alias("a"), F.col("note").alias("ta"))
+        b = texts.select(F.col("id").alias("b"), F.col("note").alias("tb"))
 
         def run(batches):
             for t in batches:
-                if not t.num_rows:
-                    continue
-                sides = [_sets(t.column(c), size) for c in ("ta", "tb")]
-                ok = np.zeros(t.num_rows, bool)
-                for k in range(t.num_rows):
-                    x, y = sides[0][k], sides[1][k]
-                    both = _common(x, y)
-                    ok[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
+                for s in range(0, t.num_rows, 512):  # packed texts grow when they are opened
+                    own = t.slice(s, 512)
+                    left, right = (_sets(own.column(c), size) for c in ("ta", "tb"))
+                    ok = np.zeros(own.num_rows, bool)
+                    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+                        both = _common(x, y)
+                        ok[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                    yield pa.RecordBatch.from_arrays([own.column("a"), own.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-    comps = link(keys, notes, passes(least), verify)
+    comps = link(keys, notes, passes(least), fetch, verify, _Sets(size, percent))
     # members that carry several classes (repeated ids) tie them together
     several = member.groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
     if not several.isEmpty():
@@ -171,18 +173,37 @@ def components_again(comps: DataFrame, ties: DataFrame) -> DataFrame:
     return components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(ties))
 
 
-def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    values = texts.dictionary_encode()
-    distinct = values.dictionary
+class _Sets(Search):
+    """Links by full sets: a query's shingles are marked and counted in all other sets of the block at once."""
+
+    def __init__(self, size: int, percent: int):
+        self.size, self.percent = size, percent
+
+    def prepare(self, notes: pa.ChunkedArray):
+        own = [x for c in notes.chunks for x in _sets(c, self.size)]
+        n = np.array([len(x) for x in own])
+        number = np.unique(np.concatenate(own), return_inverse=True)[1]
+        return n, np.concatenate(([0], np.cumsum(n))), number, np.zeros(int(number.max(initial=0)) + 1, np.int64)
+
+    def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
+        n, at, number, marks = ready
+        own = number[at[i] : at[i + 1]]
+        marks[own] = 1
+        sums = np.concatenate(([0], np.cumsum(marks[number])))
+        marks[own] = 0
+        both = sums[at[j + 1]] - sums[at[j]]
+        return (both > 0) & (100 * both >= self.percent * (n[i] + n[j] - both))
+
+
+def _sets(notes: pa.Array, size: int) -> list[np.ndarray]:
+    """The shingle sets of packed texts; equal texts are opened once."""
+    values = notes.dictionary_encode()
     own: list[np.ndarray] = []
-    for _, _, data, offs in X.chunks(distinct):
+    for _, _, data, offs in X.chunks(unpacked(values.dictionary)):
         h, at = sets_of(data, offs, size)
         own += [h[at[k] : at[k + 1]] for k in range(len(offs) - 1)]
     none = np.zeros(0, np.uint64)
-    for i in values.indices.to_pylist():
-        out.append(none if i is None else own[i])
-    return out
+    return [none if i is None else own[i] for i in values.indices.to_pylist()]
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:

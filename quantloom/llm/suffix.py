@@ -107,6 +107,7 @@ def _cut(length: int, gram: int):
                         take = pa.array(doc + i)
                         place = ((a + base) << 24) | (n << 12) | far
                         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("th").take(take), pa.array(anchor), pa.array(frame), pa.array(place)], names=["doc_id", "th", "anchor", "frame", "place"])
+            X.trim()
 
     return run
 
