@@ -148,10 +148,10 @@ def project(x, vectors, k: int, mean=None, scale=None) -> np.ndarray:
 
 
 def householder(x) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(Q, R, permutation) with column pivoting, None if a pivot column is all zero."""
+    """(thin Q, R, permutation) with column pivoting, None if a pivot column is all zero."""
     r = np.array(x, float)
     m, n = r.shape
-    q, order = np.eye(m), np.arange(n)
+    order, turns = np.arange(n), []
     for k in range(n):
         norms = np.sqrt((r[k:, k:] ** 2).sum(axis=0))
         j = k + int(np.argmax(norms))
@@ -164,8 +164,11 @@ def householder(x) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if size <= 0:
             return None
         r[k:] -= np.outer(2 * v / size, v @ r[k:])
-        q[:, k:] -= np.outer(q[:, k:] @ v, 2 * v / size)
-    return q[:, :n], np.triu(r[:n]), order
+        turns.append((k, v, size))
+    q = np.eye(m, n)
+    for k, v, size in reversed(turns):
+        q[k:] -= np.outer(2 * v / size, v @ q[k:])
+    return q, np.triu(r[:n]), order
 
 
 def ols(x, y, intercept: bool = True, refine: int = 3) -> dict:

@@ -367,13 +367,13 @@ def _curves(spark, d) -> tuple[DataFrame, DataFrame]:
     """Cumulative value by customer nation over months as curves, and queries at every order's day."""
     o = panels.read(spark, d, "orders").join(panels.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double")
-    knots = o.groupBy(F.col("c_nationkey").alias("curve"), (F.floor(day / 90) * 90.0).alias("x")).agg((F.sum("o_totalprice") / 1e5 + 1).alias("y"))
+    knots = o.groupBy(F.col("c_nationkey").alias("curve"), (F.floor(day / 90) * 90.0).alias("x")).agg((F.sum("o_totalprice") / 3e5 + 1).alias("y"))
     queries = o.select(F.col("c_nationkey").alias("curve"), F.col("o_orderkey"), (day + 0.25).alias("q"))
     return knots, queries
 
 
 _CURVES_SQL = """o AS (SELECT c_nationkey AS curve, o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS day_, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
-k AS (SELECT curve, floor(day_ / 90) * 90.0 AS x, sum(o_totalprice) / 1e5 + 1 AS y FROM o GROUP BY 1, 2),
+k AS (SELECT curve, floor(day_ / 90) * 90.0 AS x, sum(o_totalprice) / 3e5 + 1 AS y FROM o GROUP BY 1, 2),
 sg AS (SELECT curve, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY curve ORDER BY x)),
 q AS (SELECT curve, o_orderkey, day_ + 0.25 AS q FROM o),
 a AS (SELECT q.*, coalesce(sg.x, f.x) AS x, coalesce(sg.y, f.y) AS y, sg.x1, sg.y1, sg.x IS NULL AS before_ FROM q ASOF LEFT JOIN sg ON q.curve = sg.curve AND q.q >= sg.x LEFT JOIN (SELECT * FROM sg WHERE n = 1) f ON q.curve = f.curve)"""
