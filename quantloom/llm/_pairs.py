@@ -14,11 +14,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import stash
+from ._text import trim
 
 #: Members in a block of the second pass; a task holds two blocks.
 BLOCK = 512
@@ -33,7 +35,7 @@ class Search:
         raise NotImplementedError
 
     def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
-        """A mask of j: which of these rows i may link to."""
+        """A mask of j, ascending rows of i's block: which of them i may link to."""
         raise NotImplementedError
 
     def test(self, ready, i: int, k: int) -> bool:
@@ -92,39 +94,82 @@ def rest(buckets: DataFrame, comps: DataFrame, texts: DataFrame, search: Search,
     asks = F.when(F.col("out"), F.transform(upto("n_all"), lambda a: place(part("n_query"), a, True))).otherwise(F.array().cast("array<struct<qi:int,ai:int,query:boolean>>"))
     rows = b.select("key", "id", "lead", "comp", "note", F.explode(F.concat(answers, asks)).alias("at")).select("key", "at.*", "id", "lead", "comp", "note")
 
-    def cell(t: pa.Table) -> pa.Table:
-        asks = np.asarray(t.column("query").to_pylist(), bool)
-        ids, comp, lead = (t.column(c).to_numpy() for c in ("id", "comp", "lead"))
-        w = np.flatnonzero(~asks)
-        q = np.flatnonzero(asks & (ids != lead))
-        ready = search.prepare(t.column("note"))
-        label = {c: c for c in np.unique(comp).tolist()}
-
-        def top(c: int) -> int:
-            while label[c] != c:
-                c = label[c]
-            return c
-
-        found_a, found_b = [], []
-        for i in q:
-            # leaders were compared already
-            j = w[(comp[w] != comp[i]) & (ids[w] != lead[w])]
-            if not len(j):
-                continue
-            j = j[search.find(ready, i, j)]
-            one = []  # one link is enough to join two components
-            for k in j.tolist():
-                x, y = top(int(comp[i])), top(int(comp[k]))
-                if x != y and search.test(ready, i, k):
-                    label[max(x, y)] = min(x, y)
-                    one.append(k)
-            j = np.array(one, np.int64)
-            found_a.append(np.minimum(ids[i], ids[j]))
-            found_b.append(np.maximum(ids[i], ids[j]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(found_a) if found_a else none, "b": np.concatenate(found_b) if found_b else none})
-
-    return rows.groupBy("key", "qi", "ai").applyInArrow(cell, "a long, b long").distinct()
+    order = ["key", "qi", "ai"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for t in whole_groups(batches, order, "note"):
+            ids, comp, lead = (t.column(c).to_numpy() for c in ("id", "comp", "lead"))
+            asks = np.asarray(t.column("query").to_pylist(), bool)
+            ready = search.prepare(t.column("note"))
+            found: list[tuple[int, int]] = []
+            for x, y in zip(*group_edges(t, order), strict=True):
+                found += _meet(ids, comp, lead, asks, x, y, search, ready)
+            a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            trim()
+
+    return rows.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def _meet(ids, comp, lead, asks, x: int, y: int, search: Search, ready) -> list[tuple[int, int]]:
+    """Links of the rows x..y, one block: query rows meet rows of other components until these are joined."""
+    w = x + np.flatnonzero(~asks[x:y])
+    label: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in label:
+            c = label[c]
+        return c
+
+    out = []
+    for i in x + np.flatnonzero(asks[x:y] & (ids[x:y] != lead[x:y])):
+        # leaders were compared already
+        j = w[(comp[w] != comp[i]) & (ids[w] != lead[w])]
+        if not len(j):
+            continue
+        for k in j[search.find(ready, i, j)].tolist():
+            p, q = top(int(comp[i])), top(int(comp[k]))
+            if p != q and search.test(ready, i, k):
+                label[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[k])))
+    return out
+
+
+def group_edges(t: pa.Table, keys: list[str]) -> tuple[list[int], list[int]]:
+    """Firsts and ends of the runs of equal keys."""
+    if not t.num_rows:
+        return [], []
+    new = np.ones(t.num_rows, bool)
+    new[1:] = False
+    for c in keys:
+        v = t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    first = np.flatnonzero(new)
+    return first.tolist(), np.append(first[1:], t.num_rows).tolist()
+
+
+def whole_groups(batches, keys: list[str], wide: str, most: int = 4 << 20):
+    """Tables of whole groups of sorted rows, of about ``most`` bytes in column ``wide``, or one larger group."""
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(pa.Table.from_batches([b]))
+        if sum(t.column(wide).nbytes for t in held) < most:
+            continue
+        t = pa.concat_tables(held)
+        first, _ = group_edges(t, keys)
+        size = np.concatenate(([0], np.cumsum(pa.compute.binary_length(t.column(wide)).to_numpy())))
+        at = 0
+        for k in first[1:]:
+            if size[k] - size[at] >= most:
+                yield t.slice(at, k - at)
+                at = k
+        # the last group may go on; what lies before it goes if it is large enough by itself
+        held = [t.slice(at)]
+    if held:
+        yield pa.concat_tables(held)
 
 
 def link(keys: DataFrame, notes: DataFrame, compare: Compare, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], search: Search) -> DataFrame:

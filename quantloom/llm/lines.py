@@ -210,15 +210,18 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
         both = packed(docs).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("z", "asks")
 
         def cut(batches):
-            for b in batches:
-                ids, notes = [], []
-                unpack = zstandard.ZstdDecompressor()
-                for z, asked in zip(b.column("z"), b.column("asks").to_pylist(), strict=True):
-                    own = unpack.decompress(z.as_buffer()).split(b"\n")
-                    for x in asked:
-                        ids.append(x["id"])
-                        notes.append(x["sim"] + normal(own[x["line"]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(notes, pa.binary())], names=["id", "note"])
+            unpack = zstandard.ZstdDecompressor()
+            for whole in batches:
+                for k in range(0, whole.num_rows, 128):  # texts grow when they are opened, and have many lines
+                    b = whole.slice(k, 128)
+                    ids, notes = [], []
+                    for z, asked in zip(b.column("z"), b.column("asks").to_pylist(), strict=True):
+                        own = unpack.decompress(z.as_buffer()).split(b"\n")
+                        for x in asked:
+                            ids.append(x["id"])
+                            notes.append(x["sim"] + normal(own[x["line"]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(notes, pa.binary())], names=["id", "note"])
+                X.trim()
 
         return both.mapInArrow(cut, "id long, note binary").dropDuplicates(["id"])
 

@@ -188,10 +188,11 @@ class _Sets(Search):
     def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
         n, at, number, marks = ready
         own = number[at[i] : at[i + 1]]
+        lo = at[j[0]]
         marks[own] = 1
-        sums = np.concatenate(([0], np.cumsum(marks[number])))
+        sums = np.concatenate(([0], np.cumsum(marks[number[lo : at[j[-1] + 1]]])))
         marks[own] = 0
-        both = sums[at[j + 1]] - sums[at[j]]
+        both = sums[at[j + 1] - lo] - sums[at[j] - lo]
         return (both > 0) & (100 * both >= self.percent * (n[i] + n[j] - both))
 
 
