@@ -145,5 +145,5 @@ def test_roots_operator(spark):
 
 def test_sharpe_statistics(spark):
     one = spark.range(1)
-    r = one.select(finance.deflated_sharpe(F.lit(1.0), F.lit(1), F.lit(2.0), F.lit(0.0), F.lit(3.0)).alias("d"), finance.haircut_sharpe(F.lit(1.0), F.lit(1), F.lit(1.0)).alias("h"), finance.minimum_track_record(F.lit(0.1), F.lit(0.2), F.lit(0.0), F.lit(3.0)).alias("m")).first()
-    assert r.d.expected_max == 0 and np.isclose(r.h.haircut, 1.0) and r.m == math.inf
+    r = one.select(finance.deflated_sharpe(F.lit(1.0), F.lit(1), F.lit(2.0), F.lit(0.0), F.lit(3.0)).alias("d"), finance.haircut_sharpe(F.lit(0.2), F.lit(1), F.lit(1.0)).alias("h"), finance.minimum_track_record(F.lit(0.1), F.lit(0.2), F.lit(0.0), F.lit(3.0)).alias("m")).first()
+    assert r.d.expected_max == 0 and np.isclose(r.h.haircut, 0.2) and r.m == math.inf
