@@ -134,10 +134,14 @@ def distance(a: Sequence, b: Sequence, most: int) -> int:
     return score
 
 
-def near(a: bytes, b: bytes, least: float) -> bool:
-    """Whether two normalised lines have an edit similarity of ``least`` in words."""
-    a, b = a.split(b" "), b.split(b" ")
-    most = int(round((1 - least) * max(len(a), len(b)), 9))
+def near(a: list[bytes], b: list[bytes], least: float, in_a: set[bytes] | None = None, in_b: set[bytes] | None = None) -> bool:
+    """Whether two lists of words have an edit similarity of ``least``; in_a and in_b may give their sets."""
+    n = max(len(a), len(b))
+    most = int(round((1 - least) * n, 9))
+    in_a, in_b = in_a or set(a), in_b or set(b)
+    # words in common, repeats of a's included, are at least those that stay in place
+    if n - (len(in_a & in_b) + len(a) - len(in_a)) > most:
+        return False
     return distance(a, b, most) <= most
 
 
@@ -165,14 +169,16 @@ class _Edit(Search):
     def prepare(self, notes: pa.ChunkedArray):
         raw = notes.to_pylist()
         sim = np.frombuffer(b"".join(x[:16] for x in raw), np.uint8).reshape(len(raw), 16)
-        return sim, np.array([x.count(b" ", 16) + 1 for x in raw]), raw
+        words = [x[16:].split(b" ") for x in raw]
+        return sim.view("<u8"), np.array([len(w) for w in words]), words, [set(w) for w in words]
 
     def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
-        sim, n, _ = ready
+        sim, n, _, _ = ready
         return (_apart(sim[j], sim[i]) <= FAR) & (np.minimum(n[i], n[j]) >= self.least * np.maximum(n[i], n[j]))
 
     def test(self, ready, i: int, k: int) -> bool:
-        return near(ready[2][i][16:], ready[2][k][16:], self.least)
+        words, sets = ready[2:]
+        return near(words[i], words[k], self.least, sets[i], sets[k])
 
 
 def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
@@ -230,7 +236,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
 
         def test(batches):
             for t in batches:
-                ok = [near(x[16:], y[16:], least) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
+                ok = [near(x[16:].split(b" "), y[16:].split(b" "), least) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return both.select("a", "b", "na", "nb").mapInArrow(test, "a long, b long")
