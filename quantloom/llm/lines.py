@@ -2,17 +2,20 @@
 
 Lines of at least ``MIN_WORDS`` words are normalised (A-Z lower-cased, digits
 to 0, ASCII punctuation dropped, white space to single spaces). Equal lines are
-one from the start. Different lines get a SimHash of 128 bits from their words;
-lines that agree in one of ``BLOCKS`` blocks of ``BLOCK_BITS`` bits meet, and
-candidates within ``FAR`` bits are verified: the edit distance of the
-normalised lines, counted in words, is at most 1 - ``least`` of the longer one. Of each connected
-group the first occurrence by (doc_id, text hash, line number) stays; all other
-occurrences are taken out of their documents.
-
-Pigeonhole: lines that differ in fewer bits than there are blocks surely share
-one; others share one with a chance that falls with their distance, so links
-between lines that differ in one word of many are nearly always found and links
-at the similarity limit often not.
+one from the start. Different lines are linked if the edit distance of the
+normalised lines, counted in words, is at most 1 - ``least`` of the longer one.
+Of each connected group the first occurrence by (doc_id, text hash, line
+number) stays; all other occurrences are taken out of their documents.
+
+Candidates are found without loss (prefix filter): a line of n words has n + 1
+pairs of neighbouring words, its ends included. An edit takes away two
+neighbouring pairs at most, an inserted word one, so lines within the limit keep
+pairs in common, and the first of these, in any order that holds for all lines,
+is among the first pairs of both that the allowed edits cannot take away
+together. The order is by rarity in a sample, then by hash; it decides the cost
+and never the result. Lines that share such a pair meet, and counts of their
+words in ``CELLS`` cells, which never refuse a true link, screen them before
+their texts are fetched.
 
 Defined cases: null and empty texts have no lines to lose and stay as they are;
 shorter lines are never removed; rows that repeat a doc_id and its text are one
@@ -26,19 +29,27 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._pairs import Search, link
+from ._pairs import Search, group_edges, link, whole_groups
 from ._store import packed, stash
 
 MIN_WORDS = 5
-BLOCKS, BLOCK_BITS, FAR = 5, 25, 32
+#: Cells of word counts in a note, two in a byte.
+CELLS = 32
+#: Sampled documents, and kept words and pairs of words, for the order by rarity.
+SAMPLE, FREQUENT = 2048, 1 << 17
+#: Rounds of the search for pairs that do not touch; fewer rounds give more keys.
+ROUNDS = 64
+#: Larger buckets are not screened by all pairs of their members before they are linked.
+ALL_PAIRS = 2048
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -53,43 +64,124 @@ def normal(line: bytes) -> bytes:
     return b" ".join(re.split(rb"[\x20\x09-\x0d]+", line.translate(_TABLE, _DROP).strip(b" \t\n\r\x0b\x0c")))
 
 
-def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, its words and SimHash."""
+def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Word hashes of a chunk; of each line with ``min_words`` words or more its first word, end, document, number and the hash of its normal form."""
     keep = ~_PUNCT[data]
     before = np.concatenate(([0], np.cumsum(keep)))
     low, at = _NORM[data[keep]], before[offs]
-    n = len(offs) - 1
     s, e, doc = X.words(low, at)
     # the number of line ends before each word, counted from its document's start
     ends = np.concatenate(([0], np.cumsum(low == 0x0A)))
     line = ends[s] - ends[at[doc]] if len(s) else s
-    none = np.zeros(0, np.int64)
-    if not len(s):
-        return none, none, none, none, np.zeros((0, 16), np.uint8)
     h = X.span_hash(X.prefix_hash(low), s, e)
-    first = np.flatnonzero(np.append([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
-    last = np.append(first[1:], len(s))
+    first = np.flatnonzero(np.append([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))[: len(s)])
+    last = np.append(first[1:], len(s))[: len(first)]
     ok = last - first >= min_words
     first, last = first[ok], last[ok]
-    if not len(first):
-        return none, none, none, none, np.zeros((0, 16), np.uint8)
     # a line is known by its words in order
     base, inv = X._powers(len(h) + 1)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * base[:-1])))
     mark = X.mix((prefix[last] - prefix[first]) * inv[first] + (last - first).astype(np.uint64))
+    return h, first, last, doc[first], line[first], mark.view(np.int64)
+
+
+def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, number of its words and their counts by cell."""
+    h, first, last, doc, line, mark = _split(data, offs, min_words)
     size = last - first
-    sim = np.empty((len(first), 16), np.uint8)
-    a = 0
-    while a < len(first):  # in parts of about 2**15 words, or one longer line: the bits of all words are large
-        stop = max(a + 1, int(np.searchsorted(last, first[a] + (1 << 15), "right")))
-        f, z = first[a:stop], last[a:stop]
-        lo = f[0]
-        own = h[lo : z[-1]]
-        bits = np.unpackbits(np.stack((own, X.mix(own + np.uint64(0x51ED270B)))).T.copy().view(np.uint8).reshape(len(own), 16), axis=1)
-        ones = np.add.reduceat(np.concatenate((bits, np.zeros((1, 128), np.uint8))), np.stack((f - lo, z - lo), 1).ravel(), axis=0, dtype=np.int32)[::2]
-        sim[a:stop] = np.packbits(2 * ones >= (z - f)[:, None], axis=1)
-        a = stop
-    return doc[first], line[first], mark.view(np.int64), size, sim
+    cell = (h[_ranges(first, size)] >> np.uint64(40)).astype(np.int64) % CELLS
+    n = np.bincount(np.repeat(np.arange(len(first)), size) * CELLS + cell, minlength=len(first) * CELLS).reshape(-1, CELLS)
+    n = np.minimum(n, 15).astype(np.uint8)
+    return doc, line, mark, size, n[:, ::2] << 4 | n[:, 1::2]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of size[0] numbers, then those of the next."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def most_edits(n, least: float):
+    """The edits that a pair whose longer line has n words may have."""
+    return np.round((1 - least) * np.asarray(n), 9).astype(np.int64)
+
+
+@lru_cache(1 << 16)
+def losses(n: int, least: float) -> tuple[list[int], list[int]]:
+    """For a line of n words the numbers of edits that a linked line may need, and how many pairs each can take away."""
+    more = np.arange(int(n / least) - n + 2)  # words that the other line has more, each of them inserted
+    k = most_edits(n + more, least)
+    k, at = np.unique(k[more <= k], return_index=True)
+    return k.tolist(), (2 * k - at).tolist()
+
+
+def pair_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of neighbouring words, line ends (1 and 2) included, the lines' numbers, and the two words."""
+    size = last - first + 1
+    of = np.repeat(np.arange(len(first)), size)
+    at = _ranges(first, size)
+    right = np.append(h, np.uint64(0))[at]
+    right[at == last[of]] = 1
+    left = np.append(h, np.uint64(0))[at - 1]
+    left[at == first[of]] = 2
+    return X.mix(X.mix(left) + right), of, left, right
+
+
+def _apart(rank: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places that do not touch within a line, taken in the order of their ranks."""
+    end = np.iinfo(np.int64).max
+    same = of[1:] == of[:-1]
+    open_, out = np.ones(len(rank), bool), np.zeros(len(rank), bool)
+    for _ in range(ROUNDS):
+        v = np.where(open_, rank, end)
+        won = open_.copy()
+        won[1:] &= ~same | (v[1:] < v[:-1])
+        won[:-1] &= ~same | (v[:-1] < v[1:])
+        if not won.any():
+            break
+        out |= won
+        open_ &= ~won
+        open_[1:] &= ~(same & won[:-1])
+        open_[:-1] &= ~(same & won[1:])
+    return out
+
+
+def line_keys(data: np.ndarray, offs: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, hash of the normal form): the pairs by which linked lines meet; frequent: sorted hashes of words and pairs and their counts."""
+    h, first, last, _, _, mark = _split(data, offs, min_words)
+    if not len(first):
+        return np.zeros(0, np.int64), mark
+    pair, of, left, right = pair_hashes(h, first, last)
+
+    def count(x: np.ndarray) -> np.ndarray:
+        if not len(frequent[0]):
+            return np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(frequent[0], x), len(frequent[0]) - 1)
+        return np.where(frequent[0][at] == x, frequent[1][at], 0)
+
+    commonness = np.log2(count(left) + 1.0) + np.log2(count(right) + 1.0)
+    commonness = np.minimum(count(pair), 1 << 20) * 64 + commonness.astype(np.int64)
+    order = np.lexsort((pair, commonness, of))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    n = last - first
+    start = np.cumsum(n + 1) - (n + 1)
+    packed_at = np.flatnonzero(_apart(rank, of)[order])
+    held = np.searchsorted(packed_at, np.append(start, len(pair)))
+    # for each line and number of edits: pairs up to the one that these edits cannot reach, or more pairs than they can take
+    size, back = np.unique(n, return_inverse=True)
+    table = [losses(x, least) for x in size.tolist()]
+    many = np.array([len(k) for k, _ in table])
+    k, most = (np.array([x for t in table for x in t[i]], np.int64) for i in (0, 1))
+    rows = _ranges((np.cumsum(many) - many)[back], many[back])
+    line = np.repeat(np.arange(len(n)), many[back])
+    at = held[line] + k[rows]
+    reached = np.where(at < held[line + 1], packed_at[np.minimum(at, len(packed_at) - 1)] - start[line], len(pair))
+    need = np.minimum(reached, most[rows]) + 1
+    wanted = np.maximum.reduceat(need, np.flatnonzero(np.append([True], line[1:] != line[:-1])))
+    pair, of = pair[order], of[order]
+    ok = np.arange(len(pair)) - start[of] < wanted[of]
+    ok[1:] &= (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
+    return pair[ok].view(np.int64), mark[of[ok]]
 
 
 def distance(a: Sequence, b: Sequence, most: int) -> int:
@@ -145,53 +237,88 @@ def near(a: list[bytes], b: list[bytes], least: float, in_a: set[bytes] | None =
     return distance(a, b, most) <= most
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+def _cells(notes: list[bytes]) -> np.ndarray:
+    """The word counts by cell at the notes' heads."""
+    raw = np.frombuffer(b"".join(x[: CELLS // 2] for x in notes), np.uint8).reshape(len(notes), CELLS // 2)
+    return np.concatenate((raw >> 4, raw & 15), axis=1).astype(np.int8)
+
+
+def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether counts by cell and numbers of words allow a link: a changed word moves two counts, another edit one."""
+    more, k = np.abs(n - m), most_edits(np.maximum(n, m), least)
+    return (more <= k) & (np.abs(a - b).sum(axis=-1, dtype=np.int64) <= 2 * k - more)
 
 
 def _close(least: float):
-    """compare() for _pairs: notes are 16 bytes of SimHash and 8 of the number of words."""
+    """compare() for _pairs: notes are counts by cell and 8 bytes of the number of words."""
 
     def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
-        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), 24) for x in (left, right))
-        n, m = (np.ascontiguousarray(x[:, 16:]).view("<i8").ravel() for x in (a, b))
-        return (_apart(a[:, :16], b[:, :16]) <= FAR) & (np.minimum(n, m) >= least * np.maximum(n, m))
+        n, m = (np.frombuffer(b"".join(v[CELLS // 2 :] for v in x), "<i8") for x in (left, right))
+        return _possible(_cells(left), _cells(right), n, m, least)
 
     return compare
 
 
 class _Edit(Search):
-    """Links by edit similarity: notes are 16 bytes of SimHash and the normalised line."""
+    """Links by edit similarity: notes are counts by cell and the normalised line."""
 
     def __init__(self, least: float):
         self.least = least
 
     def prepare(self, notes: pa.ChunkedArray):
         raw = notes.to_pylist()
-        sim = np.frombuffer(b"".join(x[:16] for x in raw), np.uint8).reshape(len(raw), 16)
-        words = [x[16:].split(b" ") for x in raw]
-        return sim.view("<u8"), np.array([len(w) for w in words]), words, [set(w) for w in words]
+        words = [x[CELLS // 2 :].split(b" ") for x in raw]
+        return _cells(raw), np.array([len(w) for w in words]), words, [set(w) for w in words]
 
     def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
-        sim, n, _, _ = ready
-        return (_apart(sim[j], sim[i]) <= FAR) & (np.minimum(n[i], n[j]) >= self.least * np.maximum(n[i], n[j]))
+        cells, n, _, _ = ready
+        return _possible(cells[j], cells[i], n[j], n[i], self.least)
 
     def test(self, ready, i: int, k: int) -> bool:
         words, sets = ready[2:]
         return near(words[i], words[k], self.least, sets[i], sets[k])
 
 
+def partnered(cells: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Which members of a bucket have another that they may link to; all of them if there are too many to compare."""
+    out = np.ones(len(n), bool)
+    if len(n) <= ALL_PAIRS:
+        for i in range(0, len(n), 64):
+            j = slice(i, i + 64)
+            out[j] = _possible(cells[j, None], cells[None], n[j, None], n[None], least).sum(axis=1) > 1
+    return out
+
+
+def frequent_words(docs: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words and pairs of neighbouring words in a sample of (doc_id, th, text), as sorted hashes, and their counts."""
+
+    def count(batches):
+        for b in batches:
+            for _, _, data, offs in X.chunks(b.column(0)):
+                pair, _, left, right = pair_hashes(*_split(data, offs, min_words)[:3])
+                u, n = np.unique(np.concatenate((pair, right, left[left == 2])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    some = docs.orderBy("th", "doc_id").limit(SAMPLE).select("text")
+    got = some.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "pair").limit(FREQUENT).toArrow()
+    pair, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(pair)
+    return pair[order], n[order]
+
+
 def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
     """(doc_id, th, line): the occurrences to take out of documents (doc_id, th, text)."""
+    if least < 0.5:  # edits could take all pairs of words
+        raise ValueError("least must be 0.5 or more")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def mark(batches):
         for b in batches:
             for i, _, data, offs in X.chunks(b.column("text")):
-                doc, line, h, size, sim = line_marks(data, offs, min_words)
+                doc, line, h, size, cells = line_marks(data, offs, min_words)
                 if len(doc):
                     at = pa.array(doc + i)
-                    raw = np.concatenate((sim, size.astype("<i8").view(np.uint8).reshape(-1, 8)), axis=1).tobytes()
+                    raw = np.concatenate((cells, size.astype("<i8").view(np.uint8).reshape(-1, 8)), axis=1).tobytes()
                     note = pa.Array.from_buffers(pa.binary(24), len(doc), [None, pa.py_buffer(raw)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h), note], names=["doc_id", "th", "line", "id", "note"])
             X.trim()
@@ -200,19 +327,36 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
     place = F.struct("doc_id", "th", "line")
     known = stash(lines.groupBy("id").agg(F.min(F.struct(place.alias("first"), F.col("note"))).alias("r")).select("id", "r.first", "r.note"), "known")
 
+    frequent = frequent_words(docs, min_words)
+
     def keyed(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column("note").to_pylist()), np.uint8).reshape(-1, 24)[:, :16], axis=1)
-            keys = np.stack([(bits[:, k * BLOCK_BITS : (k + 1) * BLOCK_BITS] @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))) * BLOCKS + k for k in range(BLOCKS)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column("id").take(pa.array(np.repeat(np.arange(len(keys)), BLOCKS)))], names=["key", "id"])
+            for _, _, data, offs in X.chunks(b.column(0)):
+                key, h = line_keys(data, offs, least, frequent, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h)], names=["key", "id"])
+            X.trim()
+
+    # most pairs are in one line only and go after one shuffle; a line that is there twice gives its pairs twice
+    own = Window.partitionBy("key")
+    keys = docs.select("text").mapInArrow(keyed, "key long, id long").select("key", "id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"))
+    keys = stash(keys.filter("low < high").select("key", "id"), "shared")
+
+    def screened(batches):
+        for t in whole_groups(batches, ["key"], "note"):
+            key, h = t.column("key").to_numpy(), t.column("id").to_numpy()
+            t = t.filter(pa.array(np.append([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))))
+            notes = t.column("note").to_pylist()
+            cells, n = _cells(notes), np.frombuffer(b"".join(x[CELLS // 2 :] for x in notes), "<i8")
+            ok = np.concatenate([partnered(cells[x:y], n[x:y], least) for x, y in zip(*group_edges(t, ["key"]), strict=True)] or [np.zeros(0, bool)])
+            yield from t.select(["key", "id"]).filter(pa.array(ok)).combine_chunks().to_batches()
 
-    keys = known.select("id", "note").mapInArrow(keyed, "key long, id long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.join(known.select("id", "note"), "id").select("key", "id", "note").repartition(n, "key").sortWithinPartitions("key", "id")
+    keys = stash(keys.mapInArrow(screened, "key long, id long"), "keys")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        """(id, note): SimHash and normalised line of ids, from their first occurrences."""
-        asks = known.join(ids, "id").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_list(F.struct("id", "first.line", F.substring("note", 1, 16).alias("sim"))).alias("asks"))
+        """(id, note): counts by cell and normalised line of ids, from their first occurrences."""
+        asks = known.join(ids, "id").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_list(F.struct("id", "first.line", F.substring("note", 1, CELLS // 2).alias("cells"))).alias("asks"))
         both = packed(docs).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("z", "asks")
 
         def cut(batches):
@@ -225,7 +369,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
                         own = unpack.decompress(z.as_buffer()).split(b"\n")
                         for x in asked:
                             ids.append(x["id"])
-                            notes.append(x["sim"] + normal(own[x["line"]]))
+                            notes.append(x["cells"] + normal(own[x["line"]]))
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(notes, pa.binary())], names=["id", "note"])
                 X.trim()
 
@@ -237,7 +381,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
 
         def test(batches):
             for t in batches:
-                ok = [near(x[16:].split(b" "), y[16:].split(b" "), least) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
+                ok = [near(x[CELLS // 2 :].split(b" "), y[CELLS // 2 :].split(b" "), least) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return both.select("a", "b", "na", "nb").mapInArrow(test, "a long, b long")

@@ -186,6 +186,67 @@ def test_exact_line_repeats_go(docs, texts):
                 seen.add(n)
 
 
+def changed(line: list[str], edits: int, r: random.Random) -> list[str]:
+    """``line`` after so many changed, new or lost words."""
+    out = list(line)
+    for _ in range(edits):
+        k, what = r.randrange(len(out)), r.random()
+        if what < 0.6:
+            out[k] = r.choice(WORDS)
+        elif what < 0.8:
+            out.insert(k, r.choice(WORDS))
+        else:
+            del out[k]
+    return out
+
+
+def near_lines(lengths: list[int], seed: int) -> list[str]:
+    r = random.Random(seed)
+    out = []
+    for n in lengths:
+        line = [r.choice(WORDS) for _ in range(n)]
+        out += [" ".join(x) for x in [line] + [changed(line, r.randint(1, max(1, n // 4)), r) for _ in range(3)]]
+    return list(dict.fromkeys(x for x in out if len(x.split()) >= 5))
+
+
+def line_links(texts: list[str]) -> list[tuple[int, int]]:
+    """All pairs of lines within the limit, by plain comparison."""
+    own = [x.split() for x in texts]
+    out = []
+    for i, a in enumerate(own):
+        for j in range(i):
+            most = round(0.2 * max(len(a), len(own[j])), 9) // 1
+            if abs(len(a) - len(own[j])) <= most and lines.distance(a, own[j], int(most)) <= most:
+                out.append((j, i))
+    return out
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_lines_within_the_limit_share_a_key(known):
+    texts = near_lines([n for n in range(5, 64) for _ in range(4)], 8)
+    links = line_links(texts)
+    assert len(links) > 300
+    data = "\n".join(texts).encode()
+    raw, offs = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    pairs, n = np.unique(lines.pair_hashes(*lines._split(raw, offs, 5)[:3])[0], return_counts=True)
+    frequent = (pairs[n > 1], n[n > 1]) if known else (pairs[:0], n[:0])
+    _, at, mark, size, cells = lines.line_marks(raw, offs)
+    assert at.tolist() == list(range(len(texts)))
+    notes = [c.tobytes() + int(s).to_bytes(8, "little") for c, s in zip(cells, size, strict=True)]
+    own: dict[int, set[int]] = {}
+    for key, m in zip(*lines.line_keys(raw, offs, 0.8, frequent), strict=True):
+        own.setdefault(int(m), set()).add(int(key))
+    assert all(own[int(mark[i])] & own[int(mark[j])] for i, j in links)
+    assert lines._close(0.8)([notes[i] for i, _ in links], [notes[j] for _, j in links]).all()
+
+
+def test_lines_link_like_all_pairs(spark):
+    texts = near_lines([5, 5, 6, 8, 9, 10, 12, 15, 19, 20, 24, 30, 40, 60] * 4, 9)
+    want = components_of(len(texts), line_links(texts))
+    got = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == {k for k in range(len(texts)) if want[k] == k}
+
+
 # --- op5 ----------------------------------------------------------------------------------------------------------
 
 
