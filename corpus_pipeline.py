@@ -25,9 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, with n_chars counted again; so do documents that had words and are left without any."""
+    """Repeated lines of any length go, with n_chars counted again; so do documents that had words and are left without any."""
     ship(spark)
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, exact_words=1)
     left = (F.col("n_removed") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.filter(left).withColumn("n_chars", chars).select(docs.columns)

@@ -1,9 +1,10 @@
 """Fuzzy line deduplication (operator 4).
 
-Lines of at least ``MIN_WORDS`` words are normalised (A-Z lower-cased, digits
-to 0, ASCII punctuation dropped, white space to single spaces). Equal lines are
-one from the start. Different lines are linked if the edit distance of the
-normalised lines, counted in words, is at most 1 - ``least`` of the longer one.
+Lines are normalised (A-Z lower-cased, digits to 0, ASCII punctuation dropped,
+white space to single spaces). Equal lines of at least ``exact_words`` words are
+one from the start. Different lines of at least ``min_words`` words are linked
+if the edit distance of the normalised lines, counted in words, is at most
+1 - ``least`` of the longer one.
 Of each connected group the first occurrence by (doc_id, text hash, line
 number) stays; all other occurrences are taken out of their documents.
 
@@ -18,7 +19,9 @@ words in ``CELLS`` cells, which never refuse a true link, screen them before
 their texts are fetched.
 
 Defined cases: null and empty texts have no lines to lose and stay as they are;
-shorter lines are never removed; rows that repeat a doc_id and its text are one
+lines shorter than both limits, and lines without a word, are never removed;
+query() and the pipeline set ``exact_words`` to 1, so there equal lines of any
+length go; rows that repeat a doc_id and its text are one
 document and lose the same lines; a null doc_id is a document like others and
 comes first; a document may lose all its lines and is then an empty text; an
 empty table gives an empty result; other columns pass through, but columns
@@ -306,7 +309,7 @@ def frequent_words(docs: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndar
     return pair[order], n[order]
 
 
-def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
+def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int) -> DataFrame:
     """(doc_id, th, line): the occurrences to take out of documents (doc_id, th, text)."""
     if least < 0.5:  # edits could take all pairs of words
         raise ValueError("least must be 0.5 or more")
@@ -315,7 +318,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
     def mark(batches):
         for b in batches:
             for i, _, data, offs in X.chunks(b.column("text")):
-                doc, line, h, size, cells = line_marks(data, offs, min_words)
+                doc, line, h, size, cells = line_marks(data, offs, min(exact_words, min_words))
                 if len(doc):
                     at = pa.array(doc + i)
                     raw = np.concatenate((cells, size.astype("<i8").view(np.uint8).reshape(-1, 8)), axis=1).tobytes()
@@ -395,11 +398,11 @@ def duplicates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
     return there.filter(~same).select("doc_id", "th", "line")
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, min_words: int = MIN_WORDS, exact_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text``, and columns n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
-    gone = duplicates(own, least, min_words).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_set("line").alias("__gone"))
+    gone = duplicates(own, least, min_words, exact_words).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_set("line").alias("__gone"))
     full = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     full = full.join(gone, F.col(key).eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
     split = F.split(text, "\n")
@@ -412,4 +415,4 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: what every document keeps of its lines, as a digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+    return dedup(docs, exact_words=1).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))

@@ -247,6 +247,14 @@ def test_lines_link_like_all_pairs(spark):
     assert {r.doc_id for r in got if r.n_removed == 0} == {k for k in range(len(texts)) if want[k] == k}
 
 
+def test_equal_lines_of_any_length_go(spark, tmp_path):
+    rows = [(1, "All rights reserved.\n\n***\n你好世界"), (2, "all rights reserved\n\n***\n你好世界\nmore"), (3, "more"), (4, "all rights kept")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in lines.query(spark, str(tmp_path)).collect()}
+    want = {1: (0, rows[0][1]), 2: (2, "\n***\nmore"), 3: (1, ""), 4: (0, "all rights kept")}
+    assert got == {k: (n, hashlib.sha256(t.encode()).hexdigest()) for k, (n, t) in want.items()}
+
+
 # --- op5 ----------------------------------------------------------------------------------------------------------
 
 
