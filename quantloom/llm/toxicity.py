@@ -1,17 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 9).
 
-Terms are lower-cased runs of letters and their first 4 and 6 letters. The
-vocabulary are terms that labelled toxic texts have clearly more often than
-others; counts are taken over distinct texts. Labelled examples with such terms
-are indexed term by term in blocks of ``BLOCK`` examples, and each term has its
-largest weight in each block. A text's blocks are searched in the order of
-their upper bounds until no block can beat the k-th best cosine, so the
-neighbours are exact. Votes are weighted by cosine; together with the share of
-toxic examples without any term, as a prior, they give the score. evidence()
+Terms are lower-cased runs of letters and their first 4 and 6 letters. All
+terms of the labelled examples are used and all examples are indexed, clean ones
+included. A term weighs its IDF, more if labelled toxic texts have it clearly
+more often than others, and never nothing; counts are taken over distinct texts.
+A text meets the examples by its rare terms first; what its other terms can add
+is bounded by norms, and every example that may be among the k best is compared
+in full, so the neighbours are exact. Votes are weighted by cosine; together
+with the share of toxic examples, as a prior, they give the score. evidence()
 returns the neighbours themselves.
 
-At most ``FIT_ROWS`` labelled rows, by the hash of their ids, and ``TERMS``
-terms are used, so the index has a fixed bound.
+At most ``FIT_ROWS`` labelled rows, by the hash of their ids, are used, so the
+index has a fixed bound.
 
 Defined cases: null and empty texts, and texts without a known term, have no
 neighbours and get the prior; without toxic labels every score is 0; neighbours
@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +34,13 @@ from pyspark.sql import types as T
 from . import _text as X
 from ._labels import remainder, sample
 
-FIT_ROWS, TERMS = 24_000, 4_096
-BLOCK, NEIGHBOURS = 64, 15
+FIT_ROWS = 24_000
+NEIGHBOURS = 15
 PREFIXES = (4, 6)
-#: A term must be in so many toxic texts, with this share of toxic texts and this distance from chance.
-LEAST_TEXTS, LEAST_SHARE, LEAST_Z = 6, 0.6, 6.0
+#: A term's weight is its IDF times FLOOR + (z / Z) ** 2, z > 0 being its distance from chance in toxic texts.
+FLOOR, Z = 0.05, 8.0
+#: Terms in at most one of so many examples (or in SELDOM examples) are rare; this decides the cost only.
+RARE, SELDOM = 4, 64
 PRIOR_WEIGHT = 0.5
 
 
@@ -76,47 +79,88 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of size[0] numbers, then those of the next."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 @dataclass
 class Index:
-    """Labelled examples by term, with block maxima."""
+    """Labelled examples by their terms, and terms by their examples."""
 
     vocabulary: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    idf: np.ndarray  # by term, the weight of its distance from chance included
     prior: float
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by example
-    weights: list[dict[int, float]] = field(default_factory=list)  # by example, unit length
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # terms x blocks
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # (term, block) to places and weights
+    weights: list[dict[int, float]] = field(default_factory=list)  # by example, unit length; build() flattens them
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of term and weight, by example
+    term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def build(self) -> Index:
-        n_blocks = -(-len(self.weights) // BLOCK)
-        self.maxima = np.zeros((len(self.vocabulary), n_blocks))
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, row in enumerate(self.weights):
-            for t, w in row.items():
-                at, ws = lists.setdefault((t, i // BLOCK), ([], []))
-                at.append(i % BLOCK)
-                ws.append(w)
-                self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], w)
-        self.postings = {k: (np.array(a), np.array(w)) for k, (a, w) in lists.items()}
+        if self.weights:
+            self.cuts = np.concatenate(([0], np.cumsum([len(r) for r in self.weights])))
+            self.term = np.array([t for r in self.weights for t in r], np.int32)
+            self.weight = np.array([w for r in self.weights for w in r.values()], np.float32)
+            self.weights = []
         return self
 
+    def __getstate__(self):
+        """Small for the broadcast: steps between terms and bytes of equal rank together, compressed."""
+        state = {k: v for k, v in self.__dict__.items() if k != "_by_term"}
+        for k, v in (("term", np.diff(self.term, prepend=np.int32(0))), ("weight", self.weight)):
+            planes = np.ascontiguousarray(v.astype(self.__dict__[k].dtype)).view(np.uint8).reshape(len(v), -1).T if len(v) else v
+            state[k] = zstandard.ZstdCompressor(level=3).compress(planes.tobytes()), v.dtype.str, len(v)
+        return state
+
+    def __setstate__(self, state):
+        for k in ("term", "weight"):
+            raw, kind, n = state[k]
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8) if n else np.zeros(0, np.uint8)
+            state[k] = np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+        state["term"] = np.cumsum(state["term"], dtype=state["term"].dtype)
+        self.__dict__.update(state)
+
+    def _inverted(self):
+        """By term: cuts, examples and weights; whether it is rare; each example's norm over the other terms; room for a query."""
+        if "_by_term" not in self.__dict__:
+            order = np.argsort(self.term, kind="stable")
+            of = np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.cuts))
+            n = np.bincount(self.term, minlength=len(self.vocabulary))
+            rare = n <= max(SELDOM, len(self.toxic) // RARE)
+            norm = np.sqrt(np.bincount(of, np.where(rare[self.term], 0, self.weight.astype(float) ** 2), len(self.toxic)))
+            self._by_term = np.concatenate(([0], np.cumsum(n))), of[order], self.weight[order], rare, norm, np.zeros(len(self.vocabulary))
+        return self._by_term
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (over 0) with a unit vector, and the cosines."""
-        bound = w @ self.maxima[at]
+        cuts, of, weight, rare, norm, whole = self._inverted()
+        seldom = rare[at]
+        own = at[seldom]
+        size = cuts[own + 1] - cuts[own]
+        hits = _ranges(cuts[own], size)
+        # Cauchy-Schwarz for the other terms, and a little for rounding
+        bound = np.sqrt((w[~seldom] ** 2).sum()) * norm + 1e-6 + np.bincount(of[hits], weight[hits] * np.repeat(w[seldom], size), len(self.toxic))
+        whole[at] = w
         best_i, best_c = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_c) == k and bound[b] < best_c[-1] - 1e-12):
+        left, step = np.arange(len(bound)), 4 * k
+        while True:
+            if len(best_c) == k:
+                left = left[bound[left] >= best_c[-1]]
+            if not len(left):
                 break
-            cos = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                got = self.postings.get((t, int(b)))
-                if got is not None:
-                    cos[got[0]] += x * got[1]
-            hit = np.flatnonzero(cos > 0)
-            best_i, best_c = np.concatenate((best_i, hit + b * BLOCK)), np.concatenate((best_c, cos[hit]))
-            top = np.lexsort((best_i, -np.round(best_c, 12)))[:k]
-            best_i, best_c = best_i[top], best_c[top]
+            # the most promising first, then more at a time
+            top = np.argpartition(-bound[left], step - 1)[:step] if len(left) > step else np.arange(len(left))
+            now, step = left[top], 4 * step
+            left = np.delete(left, top)
+            size = self.cuts[now + 1] - self.cuts[now]
+            row = _ranges(self.cuts[now], size)
+            cos = np.bincount(np.repeat(np.arange(len(now)), size), whole[self.term[row]] * self.weight[row], len(now))
+            hit = cos > 0
+            best_i, best_c = np.concatenate((best_i, now[hit])), np.concatenate((best_c, cos[hit]))
+            first = np.lexsort((best_i, -np.round(best_c, 12)))[:k]
+            best_i, best_c = best_i[first], best_c[first]
+        whole[at] = 0
         return best_i, best_c
 
     def score(self, at: np.ndarray, w: np.ndarray) -> float:
@@ -147,7 +191,7 @@ class Index:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, text: str = "text", key: str = "doc_id") -> Index:
     """The index of at most ``rows`` labelled documents."""
     known = sample(docs, labels, label, rows, text, key)
-    one = known.groupBy(F.xxhash64(text).alias("mark")).agg(F.min(F.struct(text, "y")).alias("r")).select(F.col(f"r.{text}").alias("text"), "r.y")
+    one = known.groupBy(F.xxhash64(text).alias("mark")).agg(F.min(F.struct(text, "y")).alias("r")).select("mark", F.col(f"r.{text}").alias("text"), "r.y")
     total, bad = one.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     base = bad / total if total else 0.0
 
@@ -162,28 +206,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, minlength=len(u))), pa.array(np.bincount(back, bad_of, len(u)).astype(np.int64))], names=["term", "n", "bad"])
 
     counts = one.mapInArrow(count, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    share = F.col("bad") / F.col("n")
-    z = (share - base) / F.sqrt(F.lit(max(base * (1 - base), 1e-9)) / F.col("n"))
-    kept = counts.filter((F.col("bad") >= LEAST_TEXTS) & (share >= LEAST_SHARE) & (z >= LEAST_Z)).orderBy(z.desc(), "term").limit(TERMS).select("term", "n").collect()
-    found = sorted((np.uint64(r.term & (2**64 - 1)), r.n) for r in kept)
-    vocabulary = np.array([t for t, _ in found], np.uint64)
-    index = Index(vocabulary, np.log((1 + total) / (1 + np.array([n for _, n in found], float))), base)
+    found = counts.toArrow()
+    h, n, hits = (found.column(c).to_numpy() for c in ("term", "n", "bad"))
+    order = np.argsort(h.view(np.uint64))
+    vocabulary, n, hits = h.view(np.uint64)[order], n[order].astype(float), hits[order]
+    z = np.where(n > 1, (hits - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9)), 0.0)
+    index = Index(vocabulary, np.log((2 + total) / (1 + n)) * (FLOOR + (np.maximum(z, 0) / Z) ** 2), base)
     if not len(vocabulary):
         return index
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def embed(batches):
+        index = shared.value
         for b in batches:
-            y = b.column("y").to_numpy()
-            for i, _, data, offs in X.chunks(b.column("text")):
-                rows_ = [(int(y[i + k]), at.tolist(), w.tolist()) for k, (at, w) in enumerate(index.vectors(data, offs)) if True]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), pa.array([r[1] for r in rows_], pa.list_(pa.int64())), pa.array([r[2] for r in rows_], pa.list_(pa.float64()))], names=["y", "at", "w"])
-
-    got = one.mapInArrow(embed, "y int, at array<long>, w array<double>").filter(F.size("at") > 0).collect()
-    got = sorted((tuple(r.at), tuple(r.w), r.y) for r in got)
-    without = total - len(got)
-    index.prior = max(bad - sum(r[2] for r in got), 0) / without if without else 0.0
-    index.toxic = np.array([r[2] for r in got], float)
-    index.weights = [dict(zip(at, w, strict=True)) for at, w, _ in got]
+            for i, j, data, offs in X.chunks(b.column("text")):
+                got = index.vectors(data, offs)
+                cuts = pa.array(np.concatenate(([0], np.cumsum([len(at) for at, _ in got]))), pa.int32())
+                at = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([at for at, _ in got]).astype(np.int32)))
+                w = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([w for _, w in got]).astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([b.column("mark").slice(i, j - i), b.column("y").slice(i, j - i), at, w], names=["mark", "y", "at", "w"])
+
+    got = one.mapInArrow(embed, "mark long, y int, at array<int>, w array<float>").filter(F.size("at") > 0).toArrow()
+    shared.destroy()
+    got = got.sort_by("mark").combine_chunks()
+    index.toxic = got.column("y").to_numpy().astype(float)
+    at, w = (got.column(c).combine_chunks() for c in ("at", "w"))
+    index.cuts = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    index.term, index.weight = at.flatten().to_numpy(), w.flatten().to_numpy()
     return index.build()
 
 
@@ -191,8 +240,10 @@ def score(docs: DataFrame, index: Index, least: float = 0.5, text: str = "text")
     """``docs`` with columns score and predicted; columns of these names are replaced."""
     docs = docs.drop("score", "predicted")
     at, names = docs.columns.index(text), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        index = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -208,8 +259,10 @@ def score(docs: DataFrame, index: Index, least: float = 0.5, text: str = "text")
 def evidence(docs: DataFrame, index: Index, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, example, cosine, toxic): the neighbours behind each score; example is the place in the index."""
     kind = docs.schema[key].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        index = shared.value
         for b in batches:
             for i, _, data, offs in X.chunks(b.column(1)):
                 of, ex, cos = [], [], []

@@ -404,6 +404,27 @@ def test_nearest_is_exact():
         assert np.allclose(cos, want)
 
 
+def test_toxicity_indexes_every_example_and_term(spark):
+    rows = [(k, prose(30, 500 + k) + (" vileword" if k < 3 else "")) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 3)) for k in range(50)], "doc_id long, toxic int")
+    index = toxicity.train(docs, labels)
+    assert len(index.toxic) == 50 and len(index.vocabulary) > 300
+    # copies of few examples, too few for any threshold on counts, and a clean one
+    near = spark.createDataFrame([(0, rows[0][1] + " more"), (1, rows[2][1]), (2, rows[20][1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(near, index).collect()}
+    assert [got[k].predicted for k in range(3)] == [1, 1, 0]
+    seen: dict[int, list] = {}
+    for r in toxicity.evidence(near, index).collect():
+        seen.setdefault(r.doc_id, []).append((r.cosine, r.toxic))
+    data = "".join(r[1] for r in rows[:50]).encode()
+    every = index.vectors(np.frombuffer(data, np.uint8), np.cumsum([0] + [len(r[1]) for r in rows[:50]]))
+    asked = index.vectors(np.frombuffer(rows[2][1].encode(), np.uint8), np.array([0, len(rows[2][1])]))[0]
+    q = dict(zip(*map(np.ndarray.tolist, asked), strict=True))
+    want = sorted((sum(q.get(t, 0) * x for t, x in zip(*map(np.ndarray.tolist, v), strict=True)) for v in every), reverse=True)[:15]
+    assert np.allclose(sorted((c for c, _ in seen[1]), reverse=True), want, atol=1e-6) and max(seen[0])[1] == 1 and max(seen[2])[1] == 0
+
+
 def test_classifiers_without_labels(docs, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     q = quality.score(docs, quality.train(docs, none)).select("score").distinct().collect()
