@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 try:
@@ -33,6 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 with np.errstate(over="ignore"):
     _TABLE = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
+#: Spans over so many bytes are hashed and compared one by one.
+LONG = 64
+_MASK = np.append((U(1) << (U(8) * np.arange(8, dtype=U))) - U(1), ~U(0))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -113,17 +117,60 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return edges(~SPACE[data], offs)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Cumulative polynomial hash: entry i covers the first i bytes."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_TABLE[data] * _powers(len(data))[0], out=out[1:])
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, zeros after the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes starts[i]..ends[i]; equal bytes give equal values anywhere.
+
+    Eight bytes at a time, each step a bijection; long spans by xxh3.
+    """
+    size = ends - starts
+    out = mix(size.astype(U) + U(0x5851F42D4C957F2D))
+    eight = _eights(data)
+    at = np.flatnonzero(size <= LONG)
+    k = 0
+    while len(at := at[size[at] > k]):
+        out[at] = mix(out[at] ^ (eight[starts[at] + k] & _MASK[np.minimum(size[at] - k, 8)]))
+        k += 8
+    at = np.flatnonzero(size > LONG)
+    if len(at):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[at] = [xxhash.xxh3_64_intdigest(raw[a:e]) for a, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes starts[i]..ends[i] from prefix_hash(); equal bytes give equal values anywhere."""
-    inv = _powers(len(prefix))[1]
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(U))
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct span the first one's number, and for every span the place among these; bytes decide, not hashes."""
+    _, first, own = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    size, lead = ends - starts, first[own]
+    eight = _eights(data)
+    same = size == size[lead]
+    at = np.flatnonzero(same & (size <= LONG) & (lead != np.arange(len(lead))))
+    k = 0
+    while len(at := at[size[at] > k]):
+        same[at] &= (eight[starts[at] + k] ^ eight[starts[lead[at]] + k]) & _MASK[np.minimum(size[at] - k, 8)] == 0
+        k += 8
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(same & (size > LONG) & (lead != np.arange(len(lead)))).tolist():
+        same[i] = raw[starts[i] : ends[i]] == raw[starts[lead[i]] : ends[lead[i]]]
+    wrong = np.flatnonzero(~same)
+    if len(wrong):  # equal hashes of different bytes
+        more: dict[bytes, int] = {}
+        for i in wrong.tolist():
+            own[i] = len(first) + more.setdefault(bytes(raw[starts[i] : ends[i]]), len(more))
+        first = np.concatenate((first, wrong[np.unique(own[wrong], return_index=True)[1]]))
+    return first, own
+
+
+def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from every place on; it picks places and never says that bytes are equal."""
+    prefix = np.zeros(len(data) + 1, U)
+    power, inverse = _powers(len(data) + 1)
+    np.cumsum(_TABLE[data] * power[:-1], out=prefix[1:])
+    return mix((prefix[width:] - prefix[:-width]) * inverse[: len(data) - width + 1])
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:

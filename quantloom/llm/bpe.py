@@ -3,9 +3,10 @@
 1. Documents are cut into pre-tokens by numpy over code point classes, which
    gives what the tokeniser's pattern matches. A block of documents keeps its
    distinct words and, as positions, each document's word numbers in order.
-2. The blocks' words are dealt by hash to as many buckets as there are blocks,
-   so a bucket stays about as large as a block's vocabulary. Each distinct word
-   is encoded once; its ids go back to every block that has it.
+2. The blocks' words are dealt by hash to as many buckets as there are shuffle
+   partitions (or blocks, if these are fewer), so rows grow in proportion to the
+   blocks. Each distinct word is encoded once; its ids go back to every block
+   that has it. Words are told apart by their bytes, never by a hash alone.
 3. A block meets its words' ids again and its documents are reassembled by
    position. Decoding looks ids up in the token-byte table, of fixed size.
 
@@ -147,23 +148,20 @@ def _block(text: pa.Array) -> tuple[bytes, bytes]:
     for i, j, data, offs in X.chunks(text):
         s, e, doc = pretokens(data, offs)
         counts.append(np.bincount(doc, minlength=j - i))
-        u, first, own, times = np.unique(X.span_hash(X.prefix_hash(data), s, e), return_index=True, return_inverse=True, return_counts=True)
+        first, own = X.distinct_spans(data, s, e)
         codes.append(own.astype(np.uint32))
-        reps.append((u, e[first] - s[first], slices(data, s[first], e[first] - s[first]), times))
-    hashes = np.concatenate([r[0] for r in reps]) if reps else np.zeros(0, np.uint64)
-    u, pick, code = np.unique(hashes, return_index=True, return_inverse=True)
-    often = np.bincount(code, np.concatenate([r[3] for r in reps]) if reps else None, len(u))
-    rank = np.empty(len(u), np.int64)
-    order = np.argsort(-often, kind="stable")
-    rank[order] = np.arange(len(u))
-    # each distinct word's bytes from the first chunk that has it
-    all_len = np.concatenate([r[1] for r in reps]) if reps else np.zeros(0, np.int64)
-    all_bytes = np.concatenate([r[2] for r in reps]) if reps else np.zeros(0, np.uint8)
+        lengths = e[first] - s[first]
+        reps.append((lengths, slices(data, s[first], lengths), np.bincount(own, minlength=len(first))))
+    all_len, all_bytes, times = (np.concatenate([r[k] for r in reps]) if reps else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.uint8, np.int64)))
+    ends = np.cumsum(all_len)
+    pick, code = X.distinct_spans(all_bytes, ends - all_len, ends)
+    rank = np.empty(len(pick), np.int64)
+    order = np.argsort(-np.bincount(code, times, len(pick)), kind="stable")
+    rank[order] = np.arange(len(pick))
     pick = pick[order]
     at = np.cumsum([0, *(len(r[0]) for r in reps)])
     numbers = rank[code].astype(np.uint32)
     place = np.concatenate([numbers[at[k] : at[k + 1]][c] for k, c in enumerate(codes)]) if codes else np.zeros(0, np.uint32)
-    ends = np.cumsum(all_len)
     words = slices(all_bytes, ends[pick] - all_len[pick], all_len[pick])
     lens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     return _pack(lens.astype(np.int64), _planes(place)), _pack(all_len[pick].astype("<u4"), words)
@@ -189,7 +187,9 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
     """
     spark = df.sparkSession
     key_type = df.schema[key].dataType
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    loaded = load_ranks(ranks_path)
+    mark = hashlib.sha256(repr(sorted(loaded.items())).encode()).hexdigest()
+    ranks = spark.sparkContext.broadcast(loaded)
     blocks_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("places", T.BinaryType()), T.StructField("words", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
             yield flush()
 
     blocks = stash(df.select(key, text).mapInArrow(cut, blocks_type), "blocks")
-    n_buckets = max(1, blocks.select("block").count())
+    n_buckets = max(1, min(blocks.select("block").count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +228,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
                 lengths, raw = _unpack(blob, "<u4", np.uint8)
                 ends = np.cumsum(lengths.astype(np.int64))
                 starts = ends - lengths
-                bucket = (X.span_hash(X.prefix_hash(raw), starts, ends) % np.uint64(n_buckets)).astype(np.int64)
+                bucket = (X.span_hash(raw, starts, ends) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 for k in range(n_buckets):
@@ -241,7 +241,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
         import public_tokenizers
         import tiktoken
 
-        enc = _encoder(tiktoken, public_tokenizers.PATTERN, ranks)
+        enc = _encoder(tiktoken, public_tokenizers.PATTERN, mark, ranks)
         known: dict[bytes, np.ndarray] = {}
         out = []
         for blob in table.column("part").to_pylist():
@@ -262,7 +262,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
     def join_block(block: pa.Table, found: pa.Table) -> pa.Table:
-        table = _byte_table(ranks)
+        table = _byte_table(mark, ranks)
         parts = [[_numbers(p) for p in _unpack(x, np.uint8, np.uint8, np.uint8)] for x in found.column("ids").to_pylist()]
         size = sum(len(p[0]) for p in parts)
         counts, begins, spelled, decoded = np.zeros(size, np.int64), np.zeros(size, np.int64), [b""] * size, [b""] * size
@@ -303,20 +303,28 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
     return blocks.select("block", "keys", "places").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_block, T.StructType(fields))
 
 
-_cache: dict[str, object] = {}
+#: Of the last rank file that a worker met, known by its digest.
+_cache: dict[tuple[str, str], object] = {}
+
 
+def _cached(what: str, mark: str, make):
+    if (what, mark) not in _cache:
+        for k in [k for k in _cache if k[1] != mark]:
+            del _cache[k]
+        _cache[what, mark] = make()
+    return _cache[what, mark]
 
-def _encoder(tiktoken, pattern, ranks):
-    if "enc" not in _cache:
-        _cache["enc"] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-    return _cache["enc"]
 
+def _encoder(tiktoken, pattern, mark: str, ranks):
+    return _cached("encoder", mark, lambda: tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}))
 
-def _byte_table(ranks) -> list[bytes]:
-    if "bytes" not in _cache:
+
+def _byte_table(mark: str, ranks) -> list[bytes]:
+    def make() -> list[bytes]:
         by_id = {i: b for b, i in ranks.value.items()}
-        _cache["bytes"] = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-    return _cache["bytes"]
+        return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+
+    return _cached("bytes", mark, make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

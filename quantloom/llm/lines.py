@@ -76,15 +76,15 @@ def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarr
     # the number of line ends before each word, counted from its document's start
     ends = np.concatenate(([0], np.cumsum(low == 0x0A)))
     line = ends[s] - ends[at[doc]] if len(s) else s
-    h = X.span_hash(X.prefix_hash(low), s, e)
+    h = X.span_hash(low, s, e)
     first = np.flatnonzero(np.append([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))[: len(s)])
-    last = np.append(first[1:], len(s))[: len(first)]
+    head, last = first, np.append(first[1:], len(s))[: len(first)]
     ok = last - first >= min_words
     first, last = first[ok], last[ok]
-    # a line is known by its words in order
-    base, inv = X._powers(len(h) + 1)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * base[:-1])))
-    mark = X.mix((prefix[last] - prefix[first]) * inv[first] + (last - first).astype(np.uint64))
+    # a line is known by its words and their places
+    place = np.arange(len(h), dtype=np.uint64) - np.repeat(head, np.diff(np.append(head, len(h)))).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(X.mix(h ^ X.mix(place + np.uint64(1))))))
+    mark = X.mix(sums[last] - sums[first] + (last - first).astype(np.uint64))
     return h, first, last, doc[first], line[first], mark.view(np.int64)
 
 

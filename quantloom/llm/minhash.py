@@ -32,8 +32,6 @@ from ._store import packed, stash, unpacked
 
 REGISTERS, BANDS = 128, 32
 MANTISSA = 10
-#: Sets smaller than this skip the estimate, which would be too rough for them.
-SURE = 256
 #: Standard deviations by which an estimate may fall short.
 SLACK = 6.0
 
@@ -42,7 +40,7 @@ def sets_of(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     """Sorted distinct shingle hashes of the documents of a chunk, and their offsets."""
     low = X.LOWER[data]
     s, e, doc = X.words(low, offs)
-    h = X.span_hash(X.prefix_hash(low), s, e)
+    h = X.span_hash(low, s, e)
     n = len(offs) - 1
     return X.distinct_by_doc(*X.shingles(h, doc, n, size), n)
 
@@ -94,8 +92,9 @@ def passes(least: float):
         share = (ra == rb).mean(axis=1)
         c = chance(n, m)
         estimate = (share - c) / (1 - c)
-        slack = SLACK * np.sqrt(least * (1 - least) / REGISTERS)
-        return (small >= least * large) & ((estimate >= least - slack) | (small < SURE))
+        # registers that were borrowed tell nothing new
+        slack = SLACK * np.sqrt(least * (1 - least) / np.minimum(np.maximum(small, 1), REGISTERS))
+        return (small >= least * large) & (estimate >= least - slack)
 
     return compare
 

@@ -52,7 +52,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     upper = count((data >= 65) & (data <= 90))
     lower = count(((data >= 97) & (data <= 122)) | (data >= 0xC0))
     starts, ends, doc = X.words(data, offs)
-    h = X.span_hash(X.prefix_hash(data), starts, ends)
+    h = X.span_hash(data, starts, ends)
     distinct = np.diff(X.distinct_by_doc(h, doc, n)[1])
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])

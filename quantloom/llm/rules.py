@@ -6,7 +6,8 @@ itself compresses too well, noise hardly at all.
 
 Defined cases: a null text is an empty text; texts with fewer than
 ``min_words`` words fail the base rule; texts under the smallest band are not
-judged by ratio. Rows are judged one by one, so ties and repeated rows get
+judged by ratio, texts under a chunk by the whole ratio only; the last chunk
+overlaps the one before it so that no byte is left out. Rows are judged one by one, so ties and repeated rows get
 equal verdicts, and every other column is passed through untouched unless its
 name is one of the result's, which then is replaced.
 """
@@ -57,8 +58,7 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of the base rules for each document of a chunk."""
     n = len(offs) - 1
     starts, ends, doc = X.words(data, offs)
-    prefix = X.prefix_hash(data)
-    h = X.span_hash(prefix, starts, ends)
+    h = X.span_hash(data, starts, ends)
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
     at = np.flatnonzero(_SYM[data])
     out = {
@@ -66,29 +66,44 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "word_chars": _by_doc(doc, n, (points[ends] - points[starts]).astype(float)),
         "n_symbols": _by_doc(np.searchsorted(offs, at, "right") - 1, n),
     }
-    # lines with a word; a line is known by its whole bytes
+    # lines with a word; equal hashes of a document are confirmed on the lines' bytes
     l_start, l_end, l_doc = X.edges(data != 0x0A, offs)
     has = np.searchsorted(starts, l_end) > np.searchsorted(starts, l_start)
-    l_hash, l_doc = X.span_hash(prefix, l_start, l_end)[has], l_doc[has]
-    out["n_dup_lines"] = _by_doc(l_doc, n) - np.diff(X.distinct_by_doc(l_hash, l_doc, n)[1])
+    l_start, l_end, l_doc = l_start[has], l_end[has], l_doc[has]
+    at = np.flatnonzero(_shared(X.span_hash(data, l_start, l_end), l_doc))
+    own = X.distinct_spans(data, l_start[at], l_end[at])[1]
+    again = np.ones(len(at), bool)
+    again[np.unique(l_doc[at] * np.int64(len(at) + 1) + own, return_index=True)[1]] = False
+    out["n_dup_lines"] = _by_doc(l_doc[at[again]], n)
     # words under a five-word window that occurs twice or more in its document
     out["n_repeat_words"] = np.zeros(n, np.int64)
     if len(h) >= 5:
-        full = doc[:-4] == doc[4:]
         roll = np.zeros(len(h) - 4, np.uint64)
         for k in range(5):
             roll = X.mix(roll * np.uint64(0x9FB21C651E98DF25) + h[k : len(h) - 4 + k])
-        where = np.flatnonzero(full)
-        order = where[np.lexsort((roll[where], doc[where]))]
-        same = (roll[order][1:] == roll[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        twice = np.zeros(len(order), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
+        at = np.flatnonzero(doc[:-4] == doc[4:])
+        at = at[_shared(roll[at], doc[at])]
+        # windows of equal hashes are numbered by their words, and these by their bytes
+        used, back = np.unique((at[:, None] + np.arange(5)).ravel(), return_inverse=True)
+        word = X.distinct_spans(data, starts[used], ends[used])[1][back].reshape(-1, 5).astype(np.int64)
+        number = doc[at]
+        for k in range(5):
+            number = np.unique(number * np.int64(len(used) + 1) + word[:, k], return_inverse=True)[1].astype(np.int64)
+        at = at[np.bincount(number, minlength=1)[number] > 1]
         change = np.zeros(len(h) + 1, np.int64)
-        change[order[twice]] += 1
-        np.subtract.at(change, order[twice] + 5, 1)
-        covered = np.cumsum(change)[:-1] > 0
-        out["n_repeat_words"] = _by_doc(doc[covered], n)
+        change[at] += 1
+        np.subtract.at(change, at + 5, 1)
+        out["n_repeat_words"] = _by_doc(doc[np.cumsum(change)[:-1] > 0], n)
+    return out
+
+
+def _shared(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which hashes their document has more than once."""
+    order = np.lexsort((h, doc))
+    same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
     return out
 
 
@@ -102,14 +117,15 @@ def band(n_bytes: int, bands=BANDS) -> tuple[float, float] | None:
 
 
 def ratios(data: bytes | memoryview, pack: zstandard.ZstdCompressor, chunk: int) -> tuple[float, list[float]]:
-    """The whole text's ratio (1.0 if empty), and those of its full chunks."""
+    """The whole text's ratio (1.0 if empty), and those of its chunks; the last chunk ends where the text ends."""
     n = len(data)
     if not n:
         return 1.0, []
     whole = len(pack.compress(data)) / n
-    if n < 2 * chunk:
-        return whole, []
-    return whole, [len(pack.compress(data[i : i + chunk])) / chunk for i in range(0, n - chunk + 1, chunk)]
+    heads = [*range(0, n - chunk + 1, chunk)]
+    if n > chunk and n % chunk:
+        heads.append(n - chunk)
+    return whole, [len(pack.compress(data[i : i + chunk])) / chunk for i in heads]
 
 
 def judge(df: DataFrame, text: str = "text", bands=BANDS, chunk=CHUNK, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:

@@ -57,10 +57,8 @@ def frames(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     none = np.zeros(0, np.int64)
     if n < length:
         return (none,) * 6
-    prefix = X.prefix_hash(data)
-    at = np.arange(n - gram + 1)
-    h = X.span_hash(prefix, at, at + gram)
-    key = (h & ~_PLACE) | at.astype(np.uint64)
+    h = X.rolling_hash(data, gram)
+    key = (h & ~_PLACE) | np.arange(n - gram + 1, dtype=np.uint64)
     w = length - gram + 1
     # the least key of every w neighbours, from minima within rows of w
     rows = np.concatenate((key, np.full(-len(key) % w, ~np.uint64(0)))).reshape(-1, w)
@@ -83,7 +81,7 @@ def frames(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     count = np.diff(np.append(first, len(starts)))
     anchor = anchor[first]
     doc = np.searchsorted(offs, a, "right") - 1
-    frame = X.span_hash(prefix, a, a + count - 1 + length)
+    frame = X.span_hash(data, a, a + count - 1 + length)
     return doc, a - offs[doc], count, anchor - a, h[anchor].view(np.int64), frame.view(np.int64)
 
 

@@ -67,10 +67,8 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     is_letter, small = _letters()
     at = np.searchsorted(lead, offs)
     s, e, doc = X.edges(is_letter[cp], at)
-    base, inv = X._powers(len(cp) + 1)
-    prefix = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(X.mix(small[cp].astype(np.uint64) + np.uint64(1)) * base[:-1], out=prefix[1:])
-    span = lambda a, b: X.mix((prefix[b] - prefix[a]) * inv[a])
+    low = small[cp].view(np.uint8)
+    span = lambda a, b: X.span_hash(low, 4 * a, 4 * b)
     out, of = [span(s, e)], [doc]
     for k in PREFIXES:
         longer = e - s > k
