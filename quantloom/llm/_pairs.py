@@ -1,6 +1,7 @@
 """Links between near copies from bucket keys, without all pairs of a bucket.
 
-Members of a bucket are first compared with its leader only (the smallest id).
+Members of a bucket are first compared with its leader only (the smallest id; a
+large bucket is dealt in parts whose leaders are compared with the bucket's).
 After verification the links are joined to components. Buckets that still hold
 two components or more are searched in a second pass: members outside the
 leader's component are a query set that meets all members of other components
@@ -24,6 +25,8 @@ from ._text import trim
 
 #: Members in a block of the second pass; a task holds two blocks.
 BLOCK = 512
+#: Members of a bucket that are compared with one of them.
+FAN = 512
 
 Compare = Callable[[list[bytes], list[bytes]], np.ndarray]
 
@@ -43,10 +46,20 @@ class Search:
         return True
 
 
-def star(keys: DataFrame) -> DataFrame:
-    """(key, id, lead, n) for the rows (key, id) of buckets of two or more ids; both sides stay numbers."""
+def star(keys: DataFrame, fan: int = FAN) -> DataFrame:
+    """(key, id, lead, via, n) for the rows (key, id) of buckets of two or more ids; both sides of the joins stay numbers.
+
+    lead: the least id of the bucket; via: the one that id is compared with. In
+    a large bucket it is the least of its part, and that one is compared with lead.
+    """
     led = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return keys.join(led, "key")
+    rows = keys.join(led, "key")
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n") / fan)).alias("part")
+    large = rows.filter(F.col("n") > fan).select("*", part)
+    via = large.groupBy("key", "part").agg(F.min("id").alias("first"))
+    large = large.join(via, ["key", "part"]).withColumn("via", F.when(F.col("id") == F.col("first"), F.col("lead")).otherwise(F.col("first")))
+    out = ["key", "id", "lead", "via", "n"]
+    return rows.filter(F.col("n") <= fan).withColumn("via", F.col("lead")).select(*out).unionByName(large.select(*out))
 
 
 def screen(pairs: DataFrame, notes: DataFrame, compare: Compare) -> DataFrame:
@@ -92,19 +105,19 @@ def rest(buckets: DataFrame, comps: DataFrame, texts: DataFrame, search: Search,
     place = lambda q, a, asks: F.struct(q.alias("qi"), a.alias("ai"), F.lit(asks).alias("query"))
     answers = F.transform(upto("n_query"), lambda q: place(q, part("n_all"), False))
     asks = F.when(F.col("out"), F.transform(upto("n_all"), lambda a: place(part("n_query"), a, True))).otherwise(F.array().cast("array<struct<qi:int,ai:int,query:boolean>>"))
-    rows = b.select("key", "id", "lead", "comp", "note", F.explode(F.concat(answers, asks)).alias("at")).select("key", "at.*", "id", "lead", "comp", "note")
+    rows = b.select("key", "id", "comp", "note", F.explode(F.concat(answers, asks)).alias("at")).select("key", "at.*", "id", "comp", "note")
 
     order = ["key", "qi", "ai"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for t in whole_groups(batches, order, "note"):
-            ids, comp, lead = (t.column(c).to_numpy() for c in ("id", "comp", "lead"))
+            ids, comp = (t.column(c).to_numpy() for c in ("id", "comp"))
             asks = np.asarray(t.column("query").to_pylist(), bool)
             ready = search.prepare(t.column("note"))
             found: list[tuple[int, int]] = []
             for x, y in zip(*group_edges(t, order), strict=True):
-                found += _meet(ids, comp, lead, asks, x, y, search, ready)
+                found += _meet(ids, comp, asks, x, y, search, ready)
             a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
             trim()
@@ -112,7 +125,7 @@ def rest(buckets: DataFrame, comps: DataFrame, texts: DataFrame, search: Search,
     return rows.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
-def _meet(ids, comp, lead, asks, x: int, y: int, search: Search, ready) -> list[tuple[int, int]]:
+def _meet(ids, comp, asks, x: int, y: int, search: Search, ready) -> list[tuple[int, int]]:
     """Links of the rows x..y, one block: query rows meet rows of other components until these are joined."""
     w = x + np.flatnonzero(~asks[x:y])
     label: dict[int, int] = {}
@@ -123,9 +136,8 @@ def _meet(ids, comp, lead, asks, x: int, y: int, search: Search, ready) -> list[
         return c
 
     out = []
-    for i in x + np.flatnonzero(asks[x:y] & (ids[x:y] != lead[x:y])):
-        # leaders were compared already
-        j = w[(comp[w] != comp[i]) & (ids[w] != lead[w])]
+    for i in x + np.flatnonzero(asks[x:y]):
+        j = w[comp[w] != comp[i]]
         if not len(j):
             continue
         for k in j[search.find(ready, i, j)].tolist():
@@ -172,17 +184,17 @@ def whole_groups(batches, keys: list[str], wide: str, most: int = 4 << 20):
         yield pa.concat_tables(held)
 
 
-def link(keys: DataFrame, notes: DataFrame, compare: Compare, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], search: Search) -> DataFrame:
+def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], search: Search, screened: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, comp) for the ids that have links.
 
-    keys: (key long, id long), an id once in a bucket; notes: (id, note) for
-    compare(), the screen of the first pass; fetch(ids) gives (id, note), what
-    ids are verified by, and is called once, for the ids of screened pairs and
-    of buckets of three or more; verify(pairs (a, b), texts) gives the true links.
+    buckets: written rows (key, id, lead, via, n) as star() gives them;
+    screened(pairs (a, b)) takes out pairs of the first pass that cannot be
+    links; fetch(ids) gives (id, note), what ids are verified by, and is called
+    once, for the ids of these pairs and of buckets of three or more;
+    verify(pairs (a, b), texts) gives the true links.
     """
-    buckets = stash(star(keys), "buckets")
-    pairs = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stash(screen(pairs, notes, compare), "pairs")
+    pairs = buckets.filter("id <> via").select(F.col("via").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stash(screened(pairs) if screened else pairs, "pairs")
     larger = buckets.filter("n >= 3")
     texts = stash(fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(larger.select("id")).distinct()), "texts")
     comps = components(stash(verify(pairs, texts), "linked"))

@@ -14,9 +14,9 @@ neighbouring pairs at most, an inserted word one, so lines within the limit keep
 pairs in common, and the first of these, in any order that holds for all lines,
 is among the first pairs of both that the allowed edits cannot take away
 together. The order is by rarity in a sample, then by hash; it decides the cost
-and never the result. Lines that share such a pair meet, and counts of their
-words in ``CELLS`` cells, which never refuse a true link, screen them before
-their texts are fetched.
+and never the result. Lines that share such a pair meet if their lengths and
+the pair's place in both allow a link; then their texts are fetched, screened by
+counts of words in ``CELLS`` cells, and compared.
 
 Defined cases: null and empty texts have no lines to lose and stay as they are;
 lines shorter than both limits, and lines without a word, are never removed;
@@ -41,18 +41,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._pairs import Search, group_edges, link, whole_groups
+from ._pairs import Search, link
 from ._store import packed, stash
 
 MIN_WORDS = 5
-#: Cells of word counts in a note, two in a byte.
+#: Cells of word counts that screen two lines.
 CELLS = 32
-#: Sampled documents, and kept words and pairs of words, for the order by rarity.
-SAMPLE, FREQUENT = 2048, 1 << 17
+#: Sampled documents, kept words and pairs of words, and bits of the table that holds them, for the order by rarity.
+SAMPLE, FREQUENT, SLOTS = 2048, 1 << 17, 22
 #: Rounds of the search for pairs that do not touch; fewer rounds give more keys.
 ROUNDS = 64
 #: Larger buckets are not screened by all pairs of their members before they are linked.
 ALL_PAIRS = 2048
+#: Members of a bucket that are compared with one of them.
+FAN = 512
+#: Bytes of text that are cut into keys together, and keys that travel together.
+CHUNK, FLUSH = 4 << 20, 1 << 20
+#: The place of a pair that its line has more than once.
+ANYWHERE = 0xFFFFFFFF
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -89,13 +95,9 @@ def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarr
 
 
 def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, number of its words and their counts by cell."""
-    h, first, last, doc, line, mark = _split(data, offs, min_words)
-    size = last - first
-    cell = (h[_ranges(first, size)] >> np.uint64(40)).astype(np.int64) % CELLS
-    n = np.bincount(np.repeat(np.arange(len(first)), size) * CELLS + cell, minlength=len(first) * CELLS).reshape(-1, CELLS)
-    n = np.minimum(n, 15).astype(np.uint8)
-    return doc, line, mark, size, n[:, ::2] << 4 | n[:, 1::2]
+    """Of each line with ``min_words`` words or more: document, line number and hash of the normal form."""
+    _, _, _, doc, line, mark = _split(data, offs, min_words)
+    return doc, line, mark
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -129,62 +131,115 @@ def pair_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.
     return X.mix(X.mix(left) + right), of, left, right
 
 
-def _apart(rank: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Places that do not touch within a line, taken in the order of their ranks."""
-    end = np.iinfo(np.int64).max
-    same = of[1:] == of[:-1]
-    open_, out = np.ones(len(rank), bool), np.zeros(len(rank), bool)
+def _apart(rank: np.ndarray) -> np.ndarray:
+    """Places (lines x pairs) that do not touch within their line, taken in the order of their ranks."""
+    far = np.iinfo(rank.dtype).max
+    v, out = rank.copy(), np.zeros(rank.shape, bool)
     for _ in range(ROUNDS):
-        v = np.where(open_, rank, end)
-        won = open_.copy()
-        won[1:] &= ~same | (v[1:] < v[:-1])
-        won[:-1] &= ~same | (v[:-1] < v[1:])
+        won = v < far
+        won[:, 1:] &= v[:, 1:] < v[:, :-1]
+        won[:, :-1] &= v[:, :-1] < v[:, 1:]
         if not won.any():
             break
         out |= won
-        open_ &= ~won
-        open_[1:] &= ~(same & won[:-1])
-        open_[:-1] &= ~(same & won[1:])
+        v[won] = far
+        v[:, 1:][won[:, :-1]] = far
+        v[:, :-1][won[:, 1:]] = far
     return out
 
 
-def line_keys(data: np.ndarray, offs: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, hash of the normal form): the pairs by which linked lines meet; frequent: sorted hashes of words and pairs and their counts."""
+def line_keys(data: np.ndarray, offs: np.ndarray, least: float, table: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """(pair, hash of the normal form, number of words, place): the pairs by which linked lines meet; table: rarity()'s.
+
+    Lines of one length are worked on together. A repeat of a line in the chunk gives no keys.
+    """
     h, first, last, _, _, mark = _split(data, offs, min_words)
-    if not len(first):
-        return np.zeros(0, np.int64), mark
-    pair, of, left, right = pair_hashes(h, first, last)
-
-    def count(x: np.ndarray) -> np.ndarray:
-        if not len(frequent[0]):
-            return np.zeros(len(x), np.int64)
-        at = np.minimum(np.searchsorted(frequent[0], x), len(frequent[0]) - 1)
-        return np.where(frequent[0][at] == x, frequent[1][at], 0)
-
-    commonness = np.log2(count(left) + 1.0) + np.log2(count(right) + 1.0)
-    commonness = np.minimum(count(pair), 1 << 20) * 64 + commonness.astype(np.int64)
-    order = np.lexsort((pair, commonness, of))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    n = last - first
-    start = np.cumsum(n + 1) - (n + 1)
-    packed_at = np.flatnonzero(_apart(rank, of)[order])
-    held = np.searchsorted(packed_at, np.append(start, len(pair)))
-    # for each line and number of edits: pairs up to the one that these edits cannot reach, or more pairs than they can take
-    size, back = np.unique(n, return_inverse=True)
-    table = [losses(x, least) for x in size.tolist()]
-    many = np.array([len(k) for k, _ in table])
-    k, most = (np.array([x for t in table for x in t[i]], np.int64) for i in (0, 1))
-    rows = _ranges((np.cumsum(many) - many)[back], many[back])
-    line = np.repeat(np.arange(len(n)), many[back])
-    at = held[line] + k[rows]
-    reached = np.where(at < held[line + 1], packed_at[np.minimum(at, len(packed_at) - 1)] - start[line], len(pair))
-    need = np.minimum(reached, most[rows]) + 1
-    wanted = np.maximum.reduceat(need, np.flatnonzero(np.append([True], line[1:] != line[:-1])))
-    pair, of = pair[order], of[order]
-    ok = np.arange(len(pair)) - start[of] < wanted[of]
-    ok[1:] &= (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
-    return pair[ok].view(np.int64), mark[of[ok]]
+    new = np.sort(np.unique(mark, return_index=True)[1])
+    first, last, mark = first[new], last[new], mark[new]
+    size = last - first
+    order = np.argsort(size, kind="stable")
+    cuts = np.flatnonzero(np.append([True], size[order][1:] != size[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    shift = np.uint64(64 - SLOTS)
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
+        n = int(size[order[lo]])
+        for at in range(lo, hi, step := max(1, (1 << 18) // n)):
+            own = order[at : min(at + step, hi)]
+            word = np.empty((len(own), n + 2), np.uint64)
+            word[:, 0], word[:, -1] = 2, 1  # the ends of a line
+            word[:, 1:-1] = h[first[own][:, None] + np.arange(n)]
+            pair = X.mix(X.mix(word[:, :-1]) + word[:, 1:])
+            common = table[(word >> shift).astype(np.int64)].astype(np.uint64)
+            common = (table[(pair >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(8)) | ((common[:, :-1] + common[:, 1:]) >> np.uint64(1))
+            key = (common << np.uint64(48)) | (pair >> np.uint64(16))
+            by = np.argsort(key, axis=1)
+            rank = np.empty(by.shape, np.int32)
+            np.put_along_axis(rank, by, np.broadcast_to(np.arange(n + 1, dtype=np.int32), by.shape), axis=1)
+            picked = np.cumsum(np.take_along_axis(_apart(rank), by, axis=1), axis=1)
+            # for each number of edits: pairs up to the one that these edits cannot reach, or more pairs than they can take
+            wanted = np.zeros(len(own), np.int64)
+            for k, most in zip(*losses(n, least), strict=True):
+                wanted = np.maximum(wanted, np.minimum((picked <= k).sum(axis=1), most) + 1)
+            key = np.take_along_axis(key, by, axis=1)
+            again = np.zeros(key.shape, bool)
+            again[:, 1:] = key[:, 1:] == key[:, :-1]
+            several = again.copy()
+            several[:, :-1] |= again[:, 1:]
+            i, j = np.nonzero((np.arange(n + 1) < wanted[:, None]) & ~again)
+            place = by[i, j]
+            out.append((pair[i, place], mark[own[i]], np.full(len(i), n, np.uint32), np.where(several[i, j], ANYWHERE, place).astype(np.uint32)))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def rarity(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The table of commonness by the top bits of a hash; a shared slot only changes the order."""
+    table = np.zeros(1 << SLOTS, np.uint8)
+    np.maximum.at(table, (found >> np.uint64(64 - SLOTS)).astype(np.int64), np.minimum(np.log2(np.maximum(counts, 1)) * 8 + 1, 255).astype(np.uint8))
+    return table
+
+
+def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+    """Rows of keys, sorted by key, whose line may be linked by that pair to the line of another row of the key.
+
+    The pair stays where it is while words come and go before and after it: the
+    shifts of its distances from both line ends need as many edits.
+    """
+    row = np.lexsort((place, of, key))
+    k, o = key[row], of[row]
+    row = row[np.append([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]))] if len(row) else row
+    k = key[row]
+    first = np.flatnonzero(np.append([True], k[1:] != k[:-1])) if len(row) else row
+    size = np.diff(np.append(first, len(row)))
+    n, place = n[row].astype(np.int64), place[row].astype(np.int64)
+    ok = np.repeat(size > ALL_PAIRS, size)
+    for s in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
+        heads = first[size == s]
+        for x in range(0, len(heads), step := max(1, (1 << 20) // (s * s))):
+            at = heads[x : x + step, None] + np.arange(s)
+            a, b = n[at][:, :, None], n[at][:, None, :]
+            p, q = place[at][:, :, None], place[at][:, None, :]
+            edits = most_edits(np.maximum(a, b), least)
+            shift = np.where((p == ANYWHERE) | (q == ANYWHERE), np.abs(a - b), np.abs(p - q) + np.abs((a - p) - (b - q)))
+            ok[at] = (shift <= edits).sum(axis=2) > 1
+    return row[ok]
+
+
+def groups(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows in buckets of two or more: their numbers, the least member, the member to compare with, and the bucket's size."""
+    first = np.flatnonzero(np.append([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    bucket = np.repeat(np.arange(len(first)), size)
+    order = np.lexsort((of, bucket))
+    n = size[bucket]
+    inside = np.arange(len(key)) - first[bucket]
+    lead = of[order][first[bucket]] if len(key) else of
+    # a part of FAN members has a leader of its own, and this one is compared with the bucket's
+    head = first[bucket] + inside // FAN * FAN
+    via = np.where(inside % FAN == 0, lead, of[order][head] if len(key) else of)
+    ok = n > 1
+    return order[ok], lead[ok], via[ok], n[ok]
 
 
 def distance(a: Sequence, b: Sequence, most: int) -> int:
@@ -240,10 +295,14 @@ def near(a: list[bytes], b: list[bytes], least: float, in_a: set[bytes] | None =
     return distance(a, b, most) <= most
 
 
-def _cells(notes: list[bytes]) -> np.ndarray:
-    """The word counts by cell at the notes' heads."""
-    raw = np.frombuffer(b"".join(x[: CELLS // 2] for x in notes), np.uint8).reshape(len(notes), CELLS // 2)
-    return np.concatenate((raw >> 4, raw & 15), axis=1).astype(np.int8)
+def _read(notes: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of normalised lines, their numbers, and their counts by cell."""
+    words = [x.split(b" ") for x in notes]
+    ends = np.cumsum([len(x) for x in notes], dtype=np.int64)
+    data = np.frombuffer(b"".join(notes), np.uint8)
+    s, e, of = X.words(data, np.append([0], ends))
+    cell = of * CELLS + (X.span_hash(data, s, e) >> np.uint64(40)).astype(np.int64) % CELLS
+    return words, np.array([len(w) for w in words], np.int64), np.bincount(cell, minlength=len(notes) * CELLS).reshape(-1, CELLS).astype(np.int32)
 
 
 def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
@@ -252,26 +311,15 @@ def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least:
     return (more <= k) & (np.abs(a - b).sum(axis=-1, dtype=np.int64) <= 2 * k - more)
 
 
-def _close(least: float):
-    """compare() for _pairs: notes are counts by cell and 8 bytes of the number of words."""
-
-    def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
-        n, m = (np.frombuffer(b"".join(v[CELLS // 2 :] for v in x), "<i8") for x in (left, right))
-        return _possible(_cells(left), _cells(right), n, m, least)
-
-    return compare
-
-
 class _Edit(Search):
-    """Links by edit similarity: notes are counts by cell and the normalised line."""
+    """Links by edit similarity: notes are normalised lines."""
 
     def __init__(self, least: float):
         self.least = least
 
     def prepare(self, notes: pa.ChunkedArray):
-        raw = notes.to_pylist()
-        words = [x[CELLS // 2 :].split(b" ") for x in raw]
-        return _cells(raw), np.array([len(w) for w in words]), words, [set(w) for w in words]
+        words, n, cells = _read(notes.to_pylist())
+        return cells, n, words, [set(w) for w in words]
 
     def find(self, ready, i: int, j: np.ndarray) -> np.ndarray:
         cells, n, _, _ = ready
@@ -282,18 +330,8 @@ class _Edit(Search):
         return near(words[i], words[k], self.least, sets[i], sets[k])
 
 
-def partnered(cells: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
-    """Which members of a bucket have another that they may link to; all of them if there are too many to compare."""
-    out = np.ones(len(n), bool)
-    if len(n) <= ALL_PAIRS:
-        for i in range(0, len(n), 64):
-            j = slice(i, i + 64)
-            out[j] = _possible(cells[j, None], cells[None], n[j, None], n[None], least).sum(axis=1) > 1
-    return out
-
-
-def frequent_words(docs: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words and pairs of neighbouring words in a sample of (doc_id, th, text), as sorted hashes, and their counts."""
+def frequent_words(docs: DataFrame, min_words: int) -> np.ndarray:
+    """The table of rarity() of the most frequent words and pairs of neighbouring words in a sample of (doc_id, th, text)."""
 
     def count(batches):
         for b in batches:
@@ -304,9 +342,74 @@ def frequent_words(docs: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndar
 
     some = docs.orderBy("th", "doc_id").limit(SAMPLE).select("text")
     got = some.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "pair").limit(FREQUENT).toArrow()
-    pair, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(pair)
-    return pair[order], n[order]
+    return rarity(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
+
+
+def _pack(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray) -> bytes:
+    """Rows sorted by key: steps between the keys' upper 48 bits, and the byte planes of all numbers."""
+    step = np.diff(key >> np.uint64(16), prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).ravel() for x, kind in ((step, "<u8"), (of, "<i8"), (n, "<u4"), (place, "<u4"))]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    rows, out, at = len(raw) // 24, [], 0
+    for kind, width in (("<u8", 8), ("<i8", 8), ("<u4", 4), ("<u4", 4)):
+        out.append(np.ascontiguousarray(raw[at : at + width * rows].reshape(width, rows).T).view(kind).ravel())
+        at += width * rows
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
+
+
+def candidates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
+    """(key, id, lead, via, n): buckets of different lines that may be linked; keys travel packed, a row for each task and bucket."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = spark.sparkContext.broadcast(frequent_words(docs, min_words))
+
+    def keyed(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            order = np.argsort(rows[0])
+            rows = [x[order] for x in rows]
+            # the bucket grows with the key, so sorted keys are sorted by bucket
+            bucket = ((rows[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.append([True], bucket[1:] != bucket[:-1]))
+            parts = [_pack(*(x[a:e] for x in rows)) for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(parts, pa.binary())], names=["bucket", "part"])
+
+        for b in batches:
+            for _, _, data, offs in X.chunks(b.column(0), CHUNK):
+                rows = line_keys(data, offs, least, table.value, min_words)
+                if len(rows[0]):
+                    held.append(rows)
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+        X.trim()
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, of, n, place = (np.concatenate(x) for x in zip(*map(_unpack, t.column("part").to_pylist()), strict=True))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        shared = np.zeros(len(order), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        at = order[shared]
+        key, of, n, place = key[at], of[at], n[at], place[at]
+        at = bring_together(key, of, n, place, least)
+        key, of = key[at], of[at]
+        at, lead, via, size = groups(key, of)
+        out = pa.table({"key": key[at].view(np.int64), "id": of[at], "lead": lead, "via": via, "n": size})
+        X.trim()
+        return out
+
+    parts = docs.select("text").mapInArrow(keyed, "bucket long, part binary")
+    return parts.groupBy("bucket").applyInArrow(meet, "key long, id long, lead long, via long, n long")
 
 
 def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int) -> DataFrame:
@@ -318,48 +421,19 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
     def mark(batches):
         for b in batches:
             for i, _, data, offs in X.chunks(b.column("text")):
-                doc, line, h, size, cells = line_marks(data, offs, min(exact_words, min_words))
+                doc, line, h = line_marks(data, offs, min(exact_words, min_words))
                 if len(doc):
                     at = pa.array(doc + i)
-                    raw = np.concatenate((cells, size.astype("<i8").view(np.uint8).reshape(-1, 8)), axis=1).tobytes()
-                    note = pa.Array.from_buffers(pa.binary(24), len(doc), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h), note], names=["doc_id", "th", "line", "id", "note"])
-            X.trim()
-
-    lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long, note binary"), "lines")
-    place = F.struct("doc_id", "th", "line")
-    known = stash(lines.groupBy("id").agg(F.min(F.struct(place.alias("first"), F.col("note"))).alias("r")).select("id", "r.first", "r.note"), "known")
-
-    frequent = frequent_words(docs, min_words)
-
-    def keyed(batches):
-        for b in batches:
-            for _, _, data, offs in X.chunks(b.column(0)):
-                key, h = line_keys(data, offs, least, frequent, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h)], names=["key", "id"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h)], names=["doc_id", "th", "line", "id"])
             X.trim()
 
-    # most pairs are in one line only and go after one shuffle; a line that is there twice gives its pairs twice
-    own = Window.partitionBy("key")
-    keys = docs.select("text").mapInArrow(keyed, "key long, id long").select("key", "id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"))
-    keys = stash(keys.filter("low < high").select("key", "id"), "shared")
-
-    def screened(batches):
-        for t in whole_groups(batches, ["key"], "note"):
-            key, h = t.column("key").to_numpy(), t.column("id").to_numpy()
-            t = t.filter(pa.array(np.append([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))))
-            notes = t.column("note").to_pylist()
-            cells, n = _cells(notes), np.frombuffer(b"".join(x[CELLS // 2 :] for x in notes), "<i8")
-            ok = np.concatenate([partnered(cells[x:y], n[x:y], least) for x, y in zip(*group_edges(t, ["key"]), strict=True)] or [np.zeros(0, bool)])
-            yield from t.select(["key", "id"]).filter(pa.array(ok)).combine_chunks().to_batches()
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = keys.join(known.select("id", "note"), "id").select("key", "id", "note").repartition(n, "key").sortWithinPartitions("key", "id")
-    keys = stash(keys.mapInArrow(screened, "key long, id long"), "keys")
+    buckets = stash(candidates(docs, least, min_words), "buckets")
+    lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long"), "lines")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        """(id, note): counts by cell and normalised line of ids, from their first occurrences."""
-        asks = known.join(ids, "id").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_list(F.struct("id", "first.line", F.substring("note", 1, CELLS // 2).alias("cells"))).alias("asks"))
+        """(id, note): normalised lines of ids, each from one occurrence."""
+        place = lines.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"))
+        asks = place.groupBy(F.col("at.doc_id").alias("d"), F.col("at.th").alias("h")).agg(F.collect_list(F.struct("id", "at.line")).alias("asks"))
         both = packed(docs).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("z", "asks")
 
         def cut(batches):
@@ -372,7 +446,7 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
                         own = unpack.decompress(z.as_buffer()).split(b"\n")
                         for x in asked:
                             ids.append(x["id"])
-                            notes.append(x["cells"] + normal(own[x["line"]]))
+                            notes.append(normal(own[x["line"]]))
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(notes, pa.binary())], names=["id", "note"])
                 X.trim()
 
@@ -384,16 +458,20 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
 
         def test(batches):
             for t in batches:
-                ok = [near(x[CELLS // 2 :].split(b" "), y[CELLS // 2 :].split(b" "), least) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                (x, n, cx), (y, m, cy) = (_read(t.column(c).to_pylist()) for c in ("na", "nb"))
+                ok = _possible(cx, cy, n, m, least) if t.num_rows else np.zeros(0, bool)
+                for k in np.flatnonzero(ok).tolist():
+                    ok[k] = near(x[k], y[k], least)
+                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
         return both.select("a", "b", "na", "nb").mapInArrow(test, "a long, b long")
 
-    comps = link(keys, known.select("id", "note"), _close(least), fetch, verify, _Edit(least))
-    group = F.coalesce("comp", "id")
-    firsts = known.join(comps, "id", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
-    ids = known.select("id").join(comps, "id", "left").select("id", group.alias("group")).join(firsts, "group").select("id", "first")
-    there = lines.select("doc_id", "th", "line", "id").join(ids, "id")
+    comps = link(buckets, fetch, verify, _Edit(least))
+    # lines that no other is like go before anything is ordered
+    group = F.coalesce("comp", "id").alias("group")
+    there = lines.join(comps, "id", "left").select("doc_id", "th", "line", group)
+    firsts = there.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "line")).alias("first")).filter("n > 1")
+    there = there.join(firsts.select("group", "first"), "group")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.line") == F.col("line"))
     return there.filter(~same).select("doc_id", "th", "line")
 
@@ -402,14 +480,18 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     """``docs`` with duplicate lines taken out of ``text``, and columns n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
-    gone = duplicates(own, least, min_words, exact_words).groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_set("line").alias("__gone"))
-    full = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    full = full.join(gone, F.col(key).eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
-    split = F.split(text, "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    out = full.withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: x != "")), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns, "n_lines", "n_removed")
+    gone = duplicates(own, least, min_words, exact_words).groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines")).select(F.struct("doc_id", "th").alias("of"), "lines")
+    # the input travels as one struct, so its names may be any
+    full = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    of, cell = F.col("row").getField(key), F.col("row").getField(text)
+    full = full.withColumn("th", F.xxhash64(F.coalesce(cell, F.lit(""))))
+    full = full.join(gone, of.eqNullSafe(F.col("of.doc_id")) & (F.col("th") == F.col("of.th")), "left")
+    split = F.split(cell, "\n")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("lines", i.cast("long"))), "\n")
+    n_lines = F.coalesce(F.size(F.filter(split, lambda x: x != "")), F.lit(0)).cast("long").alias("n_lines")
+    n_removed = F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed")
+    new = F.when(F.col("lines").isNull(), cell).otherwise(kept)
+    return full.select(*((new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns), n_lines, n_removed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._pairs import Search, link
+from ._pairs import Search, link, screen, star
 from ._store import packed, stash, unpacked
 
 REGISTERS, BANDS = 128, 32
@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-    comps = link(keys, notes, passes(least), fetch, verify, _Sets(size, percent))
+    comps = link(stash(star(keys), "buckets"), fetch, verify, _Sets(size, percent), lambda pairs: screen(pairs, notes, passes(least)))
     # members that carry several classes (repeated ids) tie them together
     several = member.groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
     if not several.isEmpty():

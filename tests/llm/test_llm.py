@@ -222,22 +222,42 @@ def line_links(texts: list[str]) -> list[tuple[int, int]]:
 
 
 @pytest.mark.parametrize("known", [False, True])
-def test_lines_within_the_limit_share_a_key(known):
+def test_lines_within_the_limit_meet(known):
     texts = near_lines([n for n in range(5, 64) for _ in range(4)], 8)
     links = line_links(texts)
     assert len(links) > 300
     data = "\n".join(texts).encode()
     raw, offs = np.frombuffer(data, np.uint8), np.array([0, len(data)])
     pairs, n = np.unique(lines.pair_hashes(*lines._split(raw, offs, 5)[:3])[0], return_counts=True)
-    frequent = (pairs[n > 1], n[n > 1]) if known else (pairs[:0], n[:0])
-    _, at, mark, size, cells = lines.line_marks(raw, offs)
+    table = lines.rarity(pairs[n > 1], n[n > 1]) if known else lines.rarity(pairs[:0], n[:0])
+    _, at, mark = lines.line_marks(raw, offs)
     assert at.tolist() == list(range(len(texts)))
-    notes = [c.tobytes() + int(s).to_bytes(8, "little") for c, s in zip(cells, size, strict=True)]
+    rows = lines.line_keys(raw, offs, 0.8, table)
+    order = np.argsort(rows[0])
+    rows = [x[order] for x in rows]
+    back = lines._unpack(lines._pack(*rows))
+    assert (back[0] == rows[0] >> np.uint64(16)).all() and all((x == y).all() for x, y in zip(back[1:], rows[1:], strict=True))
     own: dict[int, set[int]] = {}
-    for key, m in zip(*lines.line_keys(raw, offs, 0.8, frequent), strict=True):
-        own.setdefault(int(m), set()).add(int(key))
+    for k in lines.bring_together(*rows, 0.8).tolist():
+        own.setdefault(int(rows[1][k]), set()).add(int(rows[0][k]))
     assert all(own[int(mark[i])] & own[int(mark[j])] for i, j in links)
-    assert lines._close(0.8)([notes[i] for i, _ in links], [notes[j] for _, j in links]).all()
+    words, size, cells = lines._read([x.encode() for x in texts])
+    i, j = np.array(links).T
+    assert [len(w) for w in words] == size.tolist() and lines._possible(cells[i], cells[j], size[i], size[j], 0.8).all()
+
+
+def test_large_buckets_are_dealt_in_parts():
+    key = np.repeat(np.array([3, 5, 9], np.uint64), [1, 1200, 2])
+    of = np.random.default_rng(0).permutation(len(key)).astype(np.int64)
+    at, lead, via, n = lines.groups(key, of)
+    assert sorted(at.tolist()) == list(range(1, len(key)))
+    for k in (5, 9):
+        own = key[at] == k
+        ids = of[at][own]
+        assert (lead[own] == ids.min()).all() and (n[own] == own.sum()).all() and set(via[own]) <= set(ids)
+        assert np.unique(via[own], return_counts=True)[1].max() <= lines.FAN + 3
+        top = dict(zip(ids.tolist(), via[own].tolist(), strict=True))
+        assert all(top[top[i]] == ids.min() for i in ids.tolist())
 
 
 def test_lines_link_like_all_pairs(spark):
