@@ -184,18 +184,14 @@ def whole_groups(batches, keys: list[str], wide: str, most: int = 4 << 20):
         yield pa.concat_tables(held)
 
 
-def link(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], search: Search, screened: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(pairs: DataFrame, larger: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], search: Search) -> DataFrame:
     """(id, comp) for the ids that have links.
 
-    buckets: written rows (key, id, lead, via, n) as star() gives them;
-    screened(pairs (a, b)) takes out pairs of the first pass that cannot be
-    links; fetch(ids) gives (id, note), what ids are verified by, and is called
-    once, for the ids of these pairs and of buckets of three or more;
+    pairs: written rows (a, b) of the first pass; larger: rows (key, id, lead, n)
+    of the buckets that these pairs do not exhaust; fetch(ids) gives (id, note),
+    what ids are verified by, and is called once, for the ids of both;
     verify(pairs (a, b), texts) gives the true links.
     """
-    pairs = buckets.filter("id <> via").select(F.col("via").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stash(screened(pairs) if screened else pairs, "pairs")
-    larger = buckets.filter("n >= 3")
     texts = stash(fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(larger.select("id")).distinct()), "texts")
     comps = components(stash(verify(pairs, texts), "linked"))
     more = stash(rest(larger, comps, texts, search), "more")

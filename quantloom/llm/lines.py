@@ -51,8 +51,9 @@ CELLS = 32
 SAMPLE, FREQUENT, SLOTS = 2048, 1 << 17, 22
 #: Rounds of the search for pairs that do not touch; fewer rounds give more keys.
 ROUNDS = 64
-#: Larger buckets are not screened by all pairs of their members before they are linked.
-ALL_PAIRS = 2048
+#: A bucket up to the first size gives the pairs of lines that may be linked, a larger one meets leader by leader and in
+#: blocks; up to the second it is parted first into lines that no chain of such pairs joins.
+SMALL, ALL_PAIRS = 64, 2048
 #: Members of a bucket that are compared with one of them.
 FAN = 512
 #: Bytes of text that are cut into keys together, and keys that travel together.
@@ -95,9 +96,19 @@ def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarr
 
 
 def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Of each line with ``min_words`` words or more: document, line number and hash of the normal form."""
-    _, _, _, doc, line, mark = _split(data, offs, min_words)
-    return doc, line, mark
+    """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, number of its words and their counts by cell, 4 bits each in two numbers."""
+    h, first, last, doc, line, mark = _split(data, offs, min_words)
+    size = last - first
+    cell = (h[_ranges(first, size)] >> np.uint64(40)).astype(np.int64) % CELLS
+    n = np.bincount(np.repeat(np.arange(len(first)), size) * CELLS + cell, minlength=len(first) * CELLS)
+    n = np.minimum(n, 15).astype(np.uint8).reshape(-1, 2)
+    return doc, line, mark, size, (n[:, 0] << 4 | n[:, 1]).view(np.int64).reshape(-1, CELLS // 16)
+
+
+def cell_counts(packed_cells: np.ndarray) -> np.ndarray:
+    """The counts by cell of line_marks(), in any order that holds for all lines."""
+    raw = np.ascontiguousarray(packed_cells).view(np.uint8).reshape(len(packed_cells), -1)
+    return np.concatenate((raw >> 4, raw & 15), axis=1).astype(np.int32)
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -200,11 +211,12 @@ def rarity(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return table
 
 
-def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
-    """Rows of keys, sorted by key, whose line may be linked by that pair to the line of another row of the key.
+def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in any order the pairs that small buckets give, and the rows of larger buckets with their buckets' numbers, ascending.
 
-    The pair stays where it is while words come and go before and after it: the
-    shifts of its distances from both line ends need as many edits.
+    Two lines may be linked by a key if its pair of words stays where it is
+    while words come and go before and after it: the shifts of its distances
+    from both line ends need as many edits.
     """
     row = np.lexsort((place, of, key))
     k, o = key[row], of[row]
@@ -213,7 +225,8 @@ def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.nda
     first = np.flatnonzero(np.append([True], k[1:] != k[:-1])) if len(row) else row
     size = np.diff(np.append(first, len(row)))
     n, place = n[row].astype(np.int64), place[row].astype(np.int64)
-    ok = np.repeat(size > ALL_PAIRS, size)
+    bucket = np.where(np.repeat(size > SMALL, size), np.repeat(first, size), -1)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
         heads = first[size == s]
         for x in range(0, len(heads), step := max(1, (1 << 20) // (s * s))):
@@ -221,9 +234,23 @@ def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.nda
             a, b = n[at][:, :, None], n[at][:, None, :]
             p, q = place[at][:, :, None], place[at][:, None, :]
             edits = most_edits(np.maximum(a, b), least)
-            shift = np.where((p == ANYWHERE) | (q == ANYWHERE), np.abs(a - b), np.abs(p - q) + np.abs((a - p) - (b - q)))
-            ok[at] = (shift <= edits).sum(axis=2) > 1
-    return row[ok]
+            near = np.where((p == ANYWHERE) | (q == ANYWHERE), np.abs(a - b), np.abs(p - q) + np.abs((a - p) - (b - q))) <= edits
+            if s <= SMALL:
+                g, i, j = np.nonzero(near & np.triu(np.ones((s, s), bool), 1))
+                left.append(row[at[g, i]])
+                right.append(row[at[g, j]])
+                continue
+            label = at
+            while True:  # the least row that each reaches
+                lower = np.where(near, label[:, None, :], len(row)).min(axis=2)
+                if (lower == label).all():
+                    break
+                label = lower
+            bucket[at] = label
+    at = np.flatnonzero(bucket >= 0)
+    at = at[np.bincount(bucket[at], minlength=1)[bucket[at]] > 1]
+    at = at[np.argsort(bucket[at], kind="stable")]
+    return np.concatenate(left), np.concatenate(right), row[at], bucket[at]
 
 
 def groups(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -362,7 +389,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def candidates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
-    """(key, id, lead, via, n): buckets of different lines that may be linked; keys travel packed, a row for each task and bucket."""
+    """(a, b, key, lead, n): pairs a, b of different lines that may be linked, n is 2; and the members a of larger buckets, each with b to be compared with.
+
+    Keys travel packed, a row for each task and bucket.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = spark.sparkContext.broadcast(frequent_words(docs, min_words))
@@ -401,15 +431,18 @@ def candidates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
         shared[:-1] |= same
         at = order[shared]
         key, of, n, place = key[at], of[at], n[at], place[at]
-        at = bring_together(key, of, n, place, least)
-        key, of = key[at], of[at]
-        at, lead, via, size = groups(key, of)
-        out = pa.table({"key": key[at].view(np.int64), "id": of[at], "lead": lead, "via": via, "n": size})
+        a, b, at, bucket = bring_together(key, of, n, place, least)
+        pairs = np.unique(np.stack((np.minimum(of[a], of[b]), np.maximum(of[a], of[b])), axis=1), axis=0)
+        key, own = key[at], of[at]
+        at, lead, via, size = groups(bucket, own)
+        # a bucket of a key is known by its least line; rows without a key are pairs
+        mark = X.mix(key[at] ^ X.mix(lead.view(np.uint64))).view(np.int64)
+        out = {"a": (pairs[:, 0], own[at]), "b": (pairs[:, 1], via), "key": (np.zeros(len(pairs), np.int64), mark), "lead": (np.zeros(len(pairs), np.int64), lead), "n": (np.full(len(pairs), 2), size)}
         X.trim()
-        return out
+        return pa.table({c: np.concatenate(x) for c, x in out.items()})
 
     parts = docs.select("text").mapInArrow(keyed, "bucket long, part binary")
-    return parts.groupBy("bucket").applyInArrow(meet, "key long, id long, lead long, via long, n long")
+    return parts.groupBy("bucket").applyInArrow(meet, "a long, b long, key long, lead long, n long")
 
 
 def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int) -> DataFrame:
@@ -421,14 +454,27 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
     def mark(batches):
         for b in batches:
             for i, _, data, offs in X.chunks(b.column("text")):
-                doc, line, h = line_marks(data, offs, min(exact_words, min_words))
+                doc, line, h, size, cells = line_marks(data, offs, min(exact_words, min_words))
                 if len(doc):
                     at = pa.array(doc + i)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h)], names=["doc_id", "th", "line", "id"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h), pa.array(size), *(pa.array(x) for x in cells.T)], names=["doc_id", "th", "line", "id", "size", "c0", "c1"])
             X.trim()
 
-    buckets = stash(candidates(docs, least, min_words), "buckets")
-    lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long"), "lines")
+    found = stash(candidates(docs, least, min_words), "buckets")
+    lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long, size long, c0 long, c1 long"), "lines")
+    pairs = stash(found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    def screened(batches):
+        for t in batches:
+            one, two = ({c: t.column(f"{side}{c}").to_numpy() for c in ("size", "c0", "c1")} for side in "ab")
+            cells = [cell_counts(np.stack((x["c0"], x["c1"]), axis=1)) for x in (one, two)]
+            yield t.select(["a", "b"]).filter(pa.array(_possible(*cells, one["size"], two["size"], least)))
+
+    notes = ("size", "c0", "c1")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = lines.join(ids, "id").groupBy("id").agg(*(F.min(c).alias(c) for c in notes))  # they are equal for an id
+    side = lambda x: known.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}{c}") for c in notes))
+    pairs = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(screened, "a long, b long"), "screened")
 
     def fetch(ids: DataFrame) -> DataFrame:
         """(id, note): normalised lines of ids, each from one occurrence."""
@@ -466,7 +512,8 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
 
         return both.select("a", "b", "na", "nb").mapInArrow(test, "a long, b long")
 
-    comps = link(buckets, fetch, verify, _Edit(least))
+    larger = found.filter("n >= 3").select("key", F.col("a").alias("id"), "lead", "n")
+    comps = link(pairs, larger, fetch, verify, _Edit(least))
     # lines that no other is like go before anything is ordered
     group = F.coalesce("comp", "id").alias("group")
     there = lines.join(comps, "id", "left").select("doc_id", "th", "line", group)

@@ -153,7 +153,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-    comps = link(stash(star(keys), "buckets"), fetch, verify, _Sets(size, percent), lambda pairs: screen(pairs, notes, passes(least)))
+    buckets = stash(star(keys), "buckets")
+    pairs = buckets.filter("id <> via").select(F.col("via").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stash(screen(pairs, notes, passes(least)), "pairs")
+    comps = link(pairs, buckets.filter("n >= 3").drop("via"), fetch, verify, _Sets(size, percent))
     # members that carry several classes (repeated ids) tie them together
     several = member.groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
     if not several.isEmpty():

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -222,7 +223,7 @@ def line_links(texts: list[str]) -> list[tuple[int, int]]:
 
 
 @pytest.mark.parametrize("known", [False, True])
-def test_lines_within_the_limit_meet(known):
+def test_lines_within_the_limit_meet(known, monkeypatch):
     texts = near_lines([n for n in range(5, 64) for _ in range(4)], 8)
     links = line_links(texts)
     assert len(links) > 300
@@ -230,19 +231,28 @@ def test_lines_within_the_limit_meet(known):
     raw, offs = np.frombuffer(data, np.uint8), np.array([0, len(data)])
     pairs, n = np.unique(lines.pair_hashes(*lines._split(raw, offs, 5)[:3])[0], return_counts=True)
     table = lines.rarity(pairs[n > 1], n[n > 1]) if known else lines.rarity(pairs[:0], n[:0])
-    _, at, mark = lines.line_marks(raw, offs)
+    _, at, mark, size, cells = lines.line_marks(raw, offs)
     assert at.tolist() == list(range(len(texts)))
     rows = lines.line_keys(raw, offs, 0.8, table)
     order = np.argsort(rows[0])
     rows = [x[order] for x in rows]
     back = lines._unpack(lines._pack(*rows))
     assert (back[0] == rows[0] >> np.uint64(16)).all() and all((x == y).all() for x, y in zip(back[1:], rows[1:], strict=True))
-    own: dict[int, set[int]] = {}
-    for k in lines.bring_together(*rows, 0.8).tolist():
-        own.setdefault(int(rows[1][k]), set()).add(int(rows[0][k]))
-    assert all(own[int(mark[i])] & own[int(mark[j])] for i, j in links)
-    words, size, cells = lines._read([x.encode() for x in texts])
+    want = {tuple(sorted((int(mark[i]), int(mark[j])))) for i, j in links}
+    for small in (64, 1):
+        monkeypatch.setattr(lines, "SMALL", small)
+        a, b, at, bucket = lines.bring_together(*rows, 0.8)
+        met = {tuple(sorted((int(x), int(y)))) for x, y in zip(rows[1][a], rows[1][b], strict=True)}
+        assert bool(met) == (small > 1)
+        own: dict[int, list[int]] = {}
+        for k, x in zip(at.tolist(), bucket.tolist(), strict=True):
+            own.setdefault(x, []).append(int(rows[1][k]))
+        met |= {tuple(sorted(pair)) for x in own.values() for pair in combinations(x, 2)}
+        assert want <= met
     i, j = np.array(links).T
+    counts = lines.cell_counts(cells)
+    assert (counts.sum(axis=1) == size).all() and lines._possible(counts[i], counts[j], size[i], size[j], 0.8).all()
+    words, size, cells = lines._read([x.encode() for x in texts])
     assert [len(w) for w in words] == size.tolist() and lines._possible(cells[i], cells[j], size[i], size[j], 0.8).all()
 
 
@@ -262,6 +272,15 @@ def test_large_buckets_are_dealt_in_parts():
 
 def test_lines_link_like_all_pairs(spark):
     texts = near_lines([5, 5, 6, 8, 9, 10, 12, 15, 19, 20, 24, 30, 40, 60] * 4, 9)
+    # two lines with more variants than a small bucket takes; copies of copies drift apart
+    r = random.Random(4)
+    for n in (24, 40):
+        line = [r.choice(WORDS) for _ in range(n)]
+        for k in range(90):
+            texts.append(" ".join(changed(line, r.randint(1, n // 3), r)))
+            if k % 30 == 29:
+                line = changed(line, n // 4, r)
+    texts = list(dict.fromkeys(texts))
     want = components_of(len(texts), line_links(texts))
     got = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id for r in got if r.n_removed == 0} == {k for k in range(len(texts)) if want[k] == k}
