@@ -4,11 +4,14 @@ Terms are lower-cased runs of letters and their first 4 and 6 letters. All
 terms of the labelled examples are used and all examples are indexed, clean ones
 included. A term weighs its IDF, more if labelled toxic texts have it clearly
 more often than others, and never nothing; counts are taken over distinct texts.
-A text meets the examples by its rare terms first; what its other terms can add
-is bounded by norms, and every example that may be among the k best is compared
-in full, so the neighbours are exact. Votes are weighted by cosine; together
-with the share of toxic examples, as a prior, they give the score. evidence()
-returns the neighbours themselves.
+Texts are searched a batch at a time. The postings of their seldom terms are
+summed in full; the ``DENSE`` most frequent terms stand as a matrix, in blocks
+of ``BLOCK`` examples with the largest weight of each term. A block is multiplied
+out for those texts only that its maxima and sums allow one of the k best, and
+every example that may be among these is compared again in double precision, so
+the neighbours are exact. Votes are weighted by cosine; together with the share
+of toxic examples, as a prior, they give the score. evidence() returns the
+neighbours themselves, by the smallest id of the example's text.
 
 At most ``FIT_ROWS`` labelled rows, by the hash of their ids, are used, so the
 index has a fixed bound.
@@ -39,8 +42,10 @@ NEIGHBOURS = 15
 PREFIXES = (4, 6)
 #: A term's weight is its IDF times FLOOR + (z / Z) ** 2, z > 0 being its distance from chance in toxic texts.
 FLOOR, Z = 0.05, 8.0
-#: Terms in at most one of so many examples (or in SELDOM examples) are rare; this decides the cost only.
-RARE, SELDOM = 4, 64
+#: Frequent terms held as a matrix, examples in a block, texts in a batch, and the error that single precision may make.
+DENSE, BLOCK, BATCH, ERROR = 1024, 512, 64, 2e-5
+#: Top bits of a term's hash in the table that finds it.
+SLOTS = 22
 PRIOR_WEIGHT = 0.5
 
 
@@ -90,6 +95,7 @@ class Index:
     idf: np.ndarray  # by term, the weight of its distance from chance included
     prior: float
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by example
+    ids: list = field(default_factory=list)  # by example
     weights: list[dict[int, float]] = field(default_factory=list)  # by example, unit length; build() flattens them
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of term and weight, by example
     term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
@@ -105,7 +111,7 @@ class Index:
 
     def __getstate__(self):
         """Small for the broadcast: steps between terms and bytes of equal rank together, compressed."""
-        state = {k: v for k, v in self.__dict__.items() if k != "_by_term"}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("_by_term", "_slots")}
         for k, v in (("term", np.diff(self.term, prepend=np.int32(0))), ("weight", self.weight)):
             planes = np.ascontiguousarray(v.astype(self.__dict__[k].dtype)).view(np.uint8).reshape(len(v), -1).T if len(v) else v
             state[k] = zstandard.ZstdCompressor(level=3).compress(planes.tobytes()), v.dtype.str, len(v)
@@ -120,51 +126,94 @@ class Index:
         self.__dict__.update(state)
 
     def _inverted(self):
-        """By term: cuts, examples and weights; whether it is rare; each example's norm over the other terms; room for a query."""
+        """By term: cuts, examples and weights; a term's column among the frequent ones or -1; their matrix (columns x examples), and its maxima by block."""
         if "_by_term" not in self.__dict__:
             order = np.argsort(self.term, kind="stable")
             of = np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.cuts))
             n = np.bincount(self.term, minlength=len(self.vocabulary))
-            rare = n <= max(SELDOM, len(self.toxic) // RARE)
-            norm = np.sqrt(np.bincount(of, np.where(rare[self.term], 0, self.weight.astype(float) ** 2), len(self.toxic)))
-            self._by_term = np.concatenate(([0], np.cumsum(n))), of[order], self.weight[order], rare, norm, np.zeros(len(self.vocabulary))
+            column = np.full(len(n), -1, np.int32)
+            often = np.argsort(-n, kind="stable")[:DENSE]
+            column[often] = np.arange(len(often))
+            matrix = np.zeros((len(often), len(self.toxic)), np.float32)
+            hit = column[self.term] >= 0
+            matrix[column[self.term[hit]], of[hit]] = self.weight[hit]
+            heads = np.arange(0, len(self.toxic), BLOCK)
+            peaks = np.maximum.reduceat(matrix, heads, axis=1) if len(heads) else matrix
+            seldom = column[self.term[order]] < 0
+            n[often] = 0
+            self._by_term = np.concatenate(([0], np.cumsum(n))), of[order][seldom], self.weight[order][seldom], column, matrix, peaks
         return self._by_term
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (over 0) with a unit vector, and the cosines."""
-        cuts, of, weight, rare, norm, whole = self._inverted()
-        seldom = rare[at]
-        own = at[seldom]
-        size = cuts[own + 1] - cuts[own]
-        hits = _ranges(cuts[own], size)
-        # Cauchy-Schwarz for the other terms, and a little for rounding
-        bound = np.sqrt((w[~seldom] ** 2).sum()) * norm + 1e-6 + np.bincount(of[hits], weight[hits] * np.repeat(w[seldom], size), len(self.toxic))
-        whole[at] = w
-        best_i, best_c = np.zeros(0, np.int64), np.zeros(0)
-        left, step = np.arange(len(bound)), 4 * k
-        while True:
-            if len(best_c) == k:
-                left = left[bound[left] >= best_c[-1]]
-            if not len(left):
-                break
-            # the most promising first, then more at a time
-            top = np.argpartition(-bound[left], step - 1)[:step] if len(left) > step else np.arange(len(left))
-            now, step = left[top], 4 * step
-            left = np.delete(left, top)
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector (terms, weights) the k examples of largest cosine (over 0), and the cosines."""
+        return [x for s in range(0, len(vectors), BATCH) for x in self._batch(vectors[s : s + BATCH], k)]
+
+    def _batch(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        cuts, of, weight, column, matrix, peaks = self._inverted()
+        rows, n = len(vectors), len(self.toxic)
+        row = np.repeat(np.arange(rows), [len(at) for at, _ in vectors])
+        at, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        at = at.astype(np.int64)
+        dense = column[at] >= 0
+        asked = np.zeros((rows, len(matrix)), np.float32)
+        asked[row[dense], column[at[dense]]] = w[dense]
+        sums = np.zeros((rows, n), np.float32)
+        for r, (own, u) in enumerate(vectors):
+            seldom = column[own] < 0
+            lo, hi, u = cuts[own[seldom]], cuts[own[seldom] + 1], u[seldom].astype(np.float32)
+            spans = list(map(slice, lo.tolist(), hi.tolist()))
+            if spans:
+                sums[r] = np.bincount(np.concatenate([of[x] for x in spans]), np.concatenate([weight[x] for x in spans]) * np.repeat(u, hi - lo), n)
+        heads = np.arange(0, n, BLOCK)
+        bound = asked @ peaks + np.maximum.reduceat(sums, heads, axis=1) + ERROR
+        cos = np.full((rows, n), -np.inf, np.float32)
+        best = np.zeros((rows, k), np.float32)  # the k largest so far, zeros until there are so many
+        for j in np.argsort(-bound.max(axis=0), kind="stable").tolist():
+            need = np.flatnonzero(bound[:, j] >= best.min(axis=1))
+            if not len(need):
+                continue
+            block = slice(heads[j], min(heads[j] + BLOCK, n))
+            got = sums[need, block] + asked[need] @ matrix[:, block]
+            cos[need, block] = got
+            both = np.concatenate((best[need], got), axis=1)
+            best[need] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        out = []
+        whole = np.zeros(len(self.vocabulary))
+        may = cos >= np.maximum(best.min(axis=1) - ERROR, 0)[:, None]
+        may &= cos > -ERROR
+        for r, (own, u) in enumerate(vectors):
+            now = np.flatnonzero(may[r])
+            whole[own] = u
             size = self.cuts[now + 1] - self.cuts[now]
-            row = _ranges(self.cuts[now], size)
-            cos = np.bincount(np.repeat(np.arange(len(now)), size), whole[self.term[row]] * self.weight[row], len(now))
-            hit = cos > 0
-            best_i, best_c = np.concatenate((best_i, now[hit])), np.concatenate((best_c, cos[hit]))
-            first = np.lexsort((best_i, -np.round(best_c, 12)))[:k]
-            best_i, best_c = best_i[first], best_c[first]
-        whole[at] = 0
-        return best_i, best_c
-
-    def score(self, at: np.ndarray, w: np.ndarray) -> float:
-        i, c = self.nearest(at, w)
-        votes = c**2
-        return float((votes @ self.toxic[i] + PRIOR_WEIGHT * self.prior) / (votes.sum() + PRIOR_WEIGHT))
+            place = _ranges(self.cuts[now], size)
+            exact = np.bincount(np.repeat(np.arange(len(now)), size), whole[self.term[place]] * self.weight[place], len(now))
+            whole[own] = 0
+            now, exact = now[exact > 0], exact[exact > 0]
+            first = np.lexsort((now, -np.round(exact, 12)))[:k]
+            out.append((now[first], exact[first]))
+        return out
+
+    def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The scores of a chunk's documents."""
+        found = self.vectors(data, offs)
+        known = [r for r, v in enumerate(found) if len(v[0])]
+        out = np.full(len(found), self.prior)
+        for r, (i, c) in zip(known, self.nearest([found[r] for r in known]), strict=True):
+            votes = c**2
+            out[r] = (votes @ self.toxic[i] + PRIOR_WEIGHT * self.prior) / (votes.sum() + PRIOR_WEIGHT)
+        return out
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of terms in the vocabulary, -1 for others: most are found by their top bits, the rest by bisection."""
+        if "_slots" not in self.__dict__:
+            slots = np.full(1 << SLOTS, -1, np.int32)
+            slots[(self.vocabulary >> np.uint64(64 - SLOTS)).astype(np.int64)] = np.arange(len(self.vocabulary), dtype=np.int32)
+            self._slots = slots
+        at = self._slots[(h >> np.uint64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
+        other = np.flatnonzero((at >= 0) & (self.vocabulary[at] != h))
+        place = np.minimum(np.searchsorted(self.vocabulary, h[other]), len(self.vocabulary) - 1)
+        at[other] = np.where(self.vocabulary[place] == h[other], place, -1)
+        return at
 
     def vectors(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each document its known terms' numbers and unit weights."""
@@ -174,8 +223,8 @@ class Index:
         if not len(self.vocabulary):
             return out
         h, doc = terms(data, offs)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
+        at = self._place(h)
+        known = at >= 0
         pair, tf = np.unique(doc[known] * len(self.vocabulary) + at[known], return_counts=True)
         of, at = pair // len(self.vocabulary), pair % len(self.vocabulary)
         w = (1 + np.log(tf)) * self.idf[at]
@@ -189,7 +238,7 @@ class Index:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, text: str = "text", key: str = "doc_id") -> Index:
     """The index of at most ``rows`` labelled documents."""
     known = sample(docs, labels, label, rows, text, key)
-    one = known.groupBy(F.xxhash64(text).alias("mark")).agg(F.min(F.struct(text, "y")).alias("r")).select("mark", F.col(f"r.{text}").alias("text"), "r.y")
+    one = known.groupBy(F.xxhash64(text).alias("mark")).agg(F.min(F.struct(text, "y")).alias("r"), F.min(key).alias("id")).select("mark", F.col(f"r.{text}").alias("text"), "r.y", "id")
     total, bad = one.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     base = bad / total if total else 0.0
 
@@ -222,12 +271,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 cuts = pa.array(np.concatenate(([0], np.cumsum([len(at) for at, _ in got]))), pa.int32())
                 at = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([at for at, _ in got]).astype(np.int32)))
                 w = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([w for _, w in got]).astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([b.column("mark").slice(i, j - i), b.column("y").slice(i, j - i), at, w], names=["mark", "y", "at", "w"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("mark", "y", "id")), at, w], names=["mark", "y", "id", "at", "w"])
 
-    got = one.mapInArrow(embed, "mark long, y int, at array<int>, w array<float>").filter(F.size("at") > 0).toArrow()
+    kind = docs.schema[key].dataType.simpleString()
+    got = one.mapInArrow(embed, f"mark long, y int, id {kind}, at array<int>, w array<float>").filter(F.size("at") > 0).toArrow()
     shared.destroy()
     got = got.sort_by("mark").combine_chunks()
-    index.toxic = got.column("y").to_numpy().astype(float)
+    index.toxic, index.ids = got.column("y").to_numpy().astype(float), got.column("id").to_pylist()
     at, w = (got.column(c).combine_chunks() for c in ("at", "w"))
     index.cuts = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
     index.term, index.weight = at.flatten().to_numpy(), w.flatten().to_numpy()
@@ -247,32 +297,33 @@ def score(docs: DataFrame, index: Index, least: float = 0.5, text: str = "text")
                 continue
             s = []
             for _, _, data, offs in X.chunks(b.column(at)):
-                s += [index.score(*v) if len(v[0]) else index.prior for v in index.vectors(data, offs)]
-            s = np.round(np.array(s), 9)
+                s.append(index.scores(data, offs))
+            s = np.round(np.concatenate(s), 9)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def evidence(docs: DataFrame, index: Index, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, example, cosine, toxic): the neighbours behind each score; example is the place in the index."""
-    kind = docs.schema[key].dataType.simpleString()
+    """(key, example, cosine, toxic): the neighbours behind each score; example is an id of the labelled text."""
+    kind = docs.schema[key].dataType
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = T.StructType([T.StructField(key, kind), T.StructField("example", kind), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.DoubleType())])
 
     def run(batches):
         index = shared.value
         for b in batches:
             for i, _, data, offs in X.chunks(b.column(1)):
-                of, ex, cos = [], [], []
-                for k, v in enumerate(index.vectors(data, offs)):
-                    if len(v[0]):
-                        a, c = index.nearest(*v)
-                        of += [i + k] * len(a)
-                        ex += a.tolist()
-                        cos += c.tolist()
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(ex, pa.int64()), pa.array(cos, pa.float64()), pa.array(index.toxic[np.array(ex, np.int64)] if ex else [], pa.float64())], names=[key, "example", "cosine", "toxic"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, example long, cosine double, toxic double")
+                found = index.vectors(data, offs)
+                known = [r for r, v in enumerate(found) if len(v[0])]
+                near = index.nearest([found[r] for r in known])
+                of = [i + r for r, (at, _) in zip(known, near, strict=True) for _ in at]
+                ex = [e for at, _ in near for e in at.tolist()]
+                cos = [c for _, own in near for c in own.tolist()]
+                ids = pa.array([index.ids[e] for e in ex], b.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), ids, pa.array(cos, pa.float64()), pa.array([float(index.toxic[e]) for e in ex], pa.float64())], names=[key, "example", "cosine", "toxic"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -421,12 +421,12 @@ def test_quality_holds_out(spark, labelled):
 
 
 def test_toxicity_holds_out(spark, labelled):
-    got = toxicity.query(spark, "/root/testdata/sf0.01").join(labelled[1], "doc_id").toPandas()
-    clean = got[(got.toxic == 0)]
-    assert (clean.predicted == 0).mean() > 0.9
+    got = toxicity.query(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
+    clean, toxic = got[got.toxic == 0], got[got.toxic == 1]
+    assert len(toxic) > 50 and (clean.predicted == 0).mean() > 0.95 and (toxic.predicted == 1).mean() > 0.8
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact(monkeypatch):
     r = np.random.default_rng(0)
     index = toxicity.Index(np.arange(30, dtype=np.uint64), np.ones(30), 0.1)
     dense = np.where(r.random((300, 30)) < 0.15, r.random((300, 30)), 0.0)
@@ -435,12 +435,15 @@ def test_nearest_is_exact():
     index.weights = [{int(t): float(row[t]) for t in np.flatnonzero(row)} for row in dense]
     index.toxic = np.zeros(300)
     index.build()
-    for k in range(20):
-        q = dense[k]
-        at = np.flatnonzero(q)
-        got, cos = index.nearest(at, q[at])
-        want = np.sort(dense @ q)[::-1][: len(got)]
-        assert np.allclose(cos, want)
+    for few, block in ((1536, 512), (7, 16), (0, 3)):  # frequent terms as a matrix, some of them, none
+        monkeypatch.setattr(toxicity, "DENSE", few)
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        index.__dict__.pop("_by_term", None)
+        asked = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in dense[:100]]
+        for q, (got, cos) in zip(dense, index.nearest(asked), strict=False):
+            every = dense @ q
+            assert len(got) == min(15, (every > 0).sum()) and np.allclose(cos, np.sort(every)[::-1][: len(got)], atol=1e-6)
+            assert np.allclose(every[got], cos, atol=1e-6)
 
 
 def test_toxicity_indexes_every_example_and_term(spark):
@@ -456,6 +459,7 @@ def test_toxicity_indexes_every_example_and_term(spark):
     seen: dict[int, list] = {}
     for r in toxicity.evidence(near, index).collect():
         seen.setdefault(r.doc_id, []).append((r.cosine, r.toxic))
+        assert r.toxic == (r.example < 3) and (r.doc_id != 1 or r.cosine < 0.99 or r.example == 2)  # examples are known by their ids
     data = "".join(r[1] for r in rows[:50]).encode()
     every = index.vectors(np.frombuffer(data, np.uint8), np.cumsum([0] + [len(r[1]) for r in rows[:50]]))
     asked = index.vectors(np.frombuffer(rows[2][1].encode(), np.uint8), np.array([0, len(rows[2][1])]))[0]
