@@ -38,12 +38,12 @@ def _bracket(f: Objective, lo, hi, tol: float) -> tuple[_Run, np.ndarray, np.nda
     a, b = np.array(lo, float), np.array(hi, float)
     run = _Run(len(a))
     fa, fb = f(a, run.open), f(b, run.open)
-    if ((fa * fb > 0) & (np.abs(fa) > tol) & (np.abs(fb) > tol)).any():
-        raise ValueError("a bracket has no change of sign")
+    # a bracket without a change of sign has no root to find: its row stays NaN and not converged
+    lost = ~(fa * fb <= 0) & ~(np.abs(fa) <= tol) & ~(np.abs(fb) <= tol)
     at_a, at_b = np.abs(fa) <= tol, np.abs(fb) <= tol
     run.put(np.flatnonzero(at_b), b[at_b], fb[at_b], 0.0, True)
     run.put(np.flatnonzero(at_a), a[at_a], fa[at_a], 0.0, True)
-    keep = run.close(at_a | at_b)
+    keep = run.close(at_a | at_b | lost)
     return run, a[keep], b[keep], fa[keep], fb[keep]
 
 

@@ -52,7 +52,9 @@ def normal_cdf(spark, d):
     return c.select("c_custkey", _r(normal.cdf(F.col("c_acctbal") / 3000.0), 9).alias("cdf"))
 
 
-def _inverse_sql() -> str:
+def _inverse_sql(source: str, key: str, result: str) -> str:
+    """``key`` and ``result`` of x, the normal quantile of p, for CTEs that end in a (key, p, ...)."""
+
     def horner(x: str, terms) -> str:
         out = f"({terms[0]!r}::DOUBLE)"
         for t in terms[1:]:
@@ -61,13 +63,13 @@ def _inverse_sql() -> str:
 
     start = f"CASE WHEN t < {normal.SPLIT} THEN {horner('q', normal.TAIL_TOP)} / {horner('q', normal.TAIL_BOTTOM)} ELSE c * {horner('(c * c)', normal.CENTRE_TOP)} / {horner('(c * c)', normal.CENTRE_BOTTOM)} END"
     step = lambda n: f"SELECT *, x{n} - ({normal.cdf_sql(f'x{n}')} - side) / ({normal.DENSITY} * exp(-0.5 * x{n} * x{n})) AS x{n + 1} FROM s{n}"
-    return f"""WITH a AS (SELECT c_custkey, (c_custkey % 997 + 1) / 998.0::DOUBLE AS p FROM customer),
+    return f"""{source},
     b AS (SELECT *, least(p, 1 - p) AS t, p - 0.5 AS c, p > 1 - {normal.SPLIT} AS upper_, CASE WHEN p > 1 - {normal.SPLIT} THEN 1 - p ELSE p END AS side FROM a),
     b2 AS (SELECT *, sqrt(-2 * ln(t)) AS q FROM b), s0 AS (SELECT *, {start} AS x0 FROM b2), s1 AS ({step(0)}), s2 AS ({step(1)})
-    SELECT c_custkey, round(CASE WHEN upper_ THEN -x2 ELSE x2 END, 8) AS x FROM s2"""
+    SELECT {key}, {result} FROM (SELECT *, CASE WHEN upper_ THEN -x2 ELSE x2 END AS x FROM s2)"""
 
 
-@query("normal_inverse", _inverse_sql())
+@query("normal_inverse", _inverse_sql("WITH a AS (SELECT c_custkey, (c_custkey % 997 + 1) / 998.0::DOUBLE AS p FROM customer)", "c_custkey", "round(x, 8) AS x"))
 def normal_inverse(spark, d):
     c = panels.read(spark, d, "customer")
     p = (F.col("c_custkey") % 997 + 1) / F.lit(998.0)
@@ -266,7 +268,16 @@ def haircut_sharpe(spark, d):
     return g.select("asset", *(_r(f"h.{c}", 7).alias(c) for c in ("p_value", "bonferroni", "holm", "bhy")))
 
 
-@query("haircut_sharpe_ratio")
+@query(
+    "haircut_sharpe_ratio",
+    _inverse_sql(
+        _SHARPES
+        + f""", h AS (SELECT *, least(1, (1 - {normal.cdf_sql('sharpe * sqrt(n)')}) * (SELECT sum(1.0 / k) FROM range(1, 11) t(k))) AS bhy FROM z),
+    a AS (SELECT asset, sharpe, n, least(greatest(1 - bhy, 1e-15), 1 - 1e-15)::DOUBLE AS p FROM h)""",
+        "asset",
+        "round(least(x / sqrt(n), sharpe), 6) AS haircut",
+    ),
+)
 def haircut_sharpe_ratio(spark, d):
     g = _sharpes(spark, d).select("asset", finance.haircut_sharpe(F.col("sharpe"), F.lit(10), F.col("n") / 12.0, 12).alias("h"))
     return g.select("asset", _r("h.haircut").alias("haircut"))
@@ -433,12 +444,28 @@ def _cov_matrix(spark, d) -> DataFrame:
     return covariance.sample(panels.segment_months(spark, d))
 
 
-query("cholesky")(lambda spark, d: dense.cholesky(_cov_matrix(spark, d)).select("i", "j", _r("value", 8).alias("value")))
+def _factor_sql(n: int = 5) -> str:
+    """CTEs up to l: the lower factor of the covariance of n assets, entry by entry, pivots d and the solution x for its diagonal."""
+    num = range(1, n + 1)
+    cells = [f"max(CASE WHEN a.k = {i} AND b.k = {j} THEN s END) AS s{i}{j}" for i in num for j in num if i <= j]
+    terms = []
+    for j in num:
+        terms.append(f"s{j}{j}{''.join(f' - l{j}{k} * l{j}{k}' for k in range(1, j))} AS d{j}, sqrt(d{j}) AS l{j}{j}")
+        terms += [f"(s{j}{i}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(1, j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, n + 1)]
+    terms += [f"(s{i}{i}{''.join(f' - l{i}{k} * y{k}' for k in range(1, i))}) / l{i}{i} AS y{i}" for i in num]
+    terms += [f"(y{i}{''.join(f' - l{k}{i} * x{k}' for k in range(i + 1, n + 1))}) / l{i}{i} AS x{i}" for i in reversed(num)]
+    return f"""{_COV}, ix AS (SELECT asset, row_number() OVER (ORDER BY asset) AS k FROM (SELECT DISTINCT asset FROM r)),
+    m AS (SELECT {", ".join(cells)} FROM s JOIN ix a ON s.i = a.asset JOIN ix b ON s.j = b.asset), l AS (SELECT *, {", ".join(terms)} FROM m)"""
+
+
+_ENTRIES = ", ".join(f"{{'k': {i}, 'q': {j}, 'v': {f'l{i}{j}' if j <= i else '0.0::DOUBLE'}}}" for i in range(1, 6) for j in range(1, 6))
+_SOLVED = f"{_factor_sql()}, u AS (SELECT unnest([{', '.join(f'{{{chr(39)}k{chr(39)}: {i}, {chr(39)}v{chr(39)}: x{i}}}' for i in range(1, 6))}], recursive := true) FROM l) SELECT 'segment' AS panel, asset AS i, round(v, 6) AS value FROM u JOIN ix USING (k)"
+query("cholesky", f"{_factor_sql()}, u AS (SELECT unnest([{_ENTRIES}], recursive := true) FROM l) SELECT a.asset AS i, b.asset AS j, round(v, 8) AS value FROM u JOIN ix a ON u.k = a.k JOIN ix b ON u.q = b.k")(lambda spark, d: dense.cholesky(_cov_matrix(spark, d)).select("i", "j", _r("value", 8).alias("value")))
 query("cholesky_pivoted")(lambda spark, d: dense.pivoted_cholesky(_cov_matrix(spark, d)))
 query("eigen")(lambda spark, d: dense.eigen(_cov_matrix(spark, d)).select("panel", "k", _r("eigenvalue", 8).alias("eigenvalue")))
 query("nearest_psd")(lambda spark, d: dense.eigen_clip(_cov_matrix(spark, d), 1e-4))
 query("nearest_correlation")(lambda spark, d: dense.higham(_cov_matrix(spark, d)))
-query("is_psd", "SELECT 'segment' AS panel, true AS psd")(lambda spark, d: dense.is_psd(_cov_matrix(spark, d)))
+query("is_psd", f"{_factor_sql()} SELECT 'segment' AS panel, least(d1, d2, d3, d4, d5) >= 0 AS psd FROM l")(lambda spark, d: dense.is_psd(_cov_matrix(spark, d)))
 query("pca_covariance")(lambda spark, d: dense.pca_covariance(dense.map_matrix(_cov_matrix(spark, d), lambda a: (a + a.T) / 2)))
 query("pca_returns")(lambda spark, d: dense.pca_returns(panels.embedding_panel(spark, d), standardize=True))
 query("pca_components_needed")(lambda spark, d: dense.components_needed(dense.pca_returns(panels.embedding_panel(spark, d)), 0.9))
@@ -455,8 +482,8 @@ def _system(spark, d) -> tuple[DataFrame, DataFrame]:
     return m, m.filter("i = j").select("panel", "i", "value")
 
 
-query("solve_gaussian")(lambda spark, d: dense.solve(*_system(spark, d)))
-query("solve_cholesky")(lambda spark, d: dense.solve(*_system(spark, d), method="cholesky"))
+query("solve_gaussian", _SOLVED)(lambda spark, d: dense.solve(*_system(spark, d)).withColumn("value", _r("value")))
+query("solve_cholesky", _SOLVED)(lambda spark, d: dense.solve(*_system(spark, d), method="cholesky").withColumn("value", _r("value")))
 query("portfolio_min_variance")(lambda spark, d: dense.min_variance(_cov_matrix(spark, d), 0.05, 0.5))
 
 
@@ -505,16 +532,24 @@ def _yield(x, rows):
     return (rows["payment"].to_numpy() * (1 + x) ** -n).sum(axis=0) - rows["p_retailprice"].to_numpy()
 
 
+#: Sixty halvings of the bracket, whatever the method.
+_ROOTS = """WITH RECURSIVE p AS (SELECT p_partkey, p_retailprice::DOUBLE AS price, p_retailprice / 12 * (1 + p_size / 100.0::DOUBLE) AS pay FROM part),
+b AS (SELECT p_partkey, price, pay, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0 AS k FROM p UNION ALL
+  SELECT p_partkey, price, pay, CASE WHEN f > 0 THEN mid ELSE low END, CASE WHEN f > 0 THEN high ELSE mid END, k + 1
+  FROM (SELECT *, (low + high) / 2 AS mid, pay * (1 - pow(1 + (low + high) / 2, -12)) / ((low + high) / 2) - price AS f FROM b WHERE k < 60))
+SELECT p_partkey, round((low + high) / 2, 5) AS root, true AS converged FROM b WHERE k = 60"""
+
+
 for _method in (*roots.BRACKETED, *roots.OPEN):
 
-    @query(f"root_{_method}")
+    @query(f"root_{_method}", _ROOTS)
     def _root(spark, d, method=_method):
         p = panels.read(spark, d, "part").select("p_partkey", "p_retailprice", (F.col("p_retailprice") / 12 * (1 + F.col("p_size") / 100.0)).alias("payment"))
         p = p.withColumn("lower", F.lit(0.0)).withColumn("upper", F.lit(1.0)).withColumn("guess", F.lit(0.02))
         options = {"delta": 0.01} if method == "muller" else {}
         tol = {"f_tol": 1e-9} if method == "bisection" else {"tol": 1e-9}
         got = roots.solve(p, _yield, method, **tol, **options)
-        return got.select("p_partkey", _r("root", 7).alias("root"), "converged")
+        return got.select("p_partkey", _r("root", 5).alias("root"), "converged")
 
 
 # --- bootstrap, quasi-random sequences ----------------------------------------------------------------------------
@@ -572,19 +607,19 @@ query("random_gaussian")(lambda spark, d: random_streams.draws(spark, 4, 1000, 4
 query("random_int")(lambda spark, d: random_streams.draws(spark, 4, 1000, 42, kind="int", bound=6))
 
 
-def _sobol_sql(dims: int, n: int) -> str:
+def _sobol_sql(dims: int, n: int, skip: int = 0) -> str:
     cols = []
     for k in range(dims):
-        terms = [f"((g >> {i}) & 1) * {v}" for i, v in enumerate(qmc.direction_numbers(k + 1)) if (1 << i) <= 2 * n]
+        terms = [f"((g >> {i}) & 1) * {v}" for i, v in enumerate(qmc.direction_numbers(k + 1)) if (1 << i) <= 2 * (n + skip)]
         out = terms[0]
         for t in terms[1:]:
             out = f"xor({out}, {t})"
         cols.append(f"({out}) / 1073741824.0::DOUBLE AS x{k + 1}")
-    return f"SELECT i, {', '.join(cols)} FROM (SELECT i, xor(i, i >> 1) AS g FROM range(1, {n + 1}) t(i))"
+    return f"SELECT i, {', '.join(cols)} FROM (SELECT i, xor(i, i >> 1) AS g FROM range({1 + skip}, {n + skip + 1}) t(i))"
 
 
 query("sobol", _sobol_sql(8, 4096))(lambda spark, d: qmc.sobol(spark, 4096, 8))
-query("sobol_32")(lambda spark, d: qmc.sobol(spark, 1000, 32, skip=100))
+query("sobol_32", _sobol_sql(32, 1000, 100))(lambda spark, d: qmc.sobol(spark, 1000, 32, skip=100))
 
 
 def _halton_sql(bases, n: int) -> str:
@@ -612,33 +647,51 @@ def streaming_moments_batch(spark, d):
     return w.select("window_start", "event_type", "count", _r("mean").alias("mean"), _r("variance", 4).alias("variance"))
 
 
-@query("streaming_moments")
+@query("streaming_moments", SQL["streaming_moments_batch"])
 def streaming_moments(spark, d):
     """The same by a stream over the table's file, run until it has read all."""
     from ..streaming import online
 
-    return _drain(spark, d, lambda s: online.windowed_moments(s, "ts", "value", "1 day", "1 hour", ["event_type"]), "complete", "moments")
+    w = _drain(spark, d, lambda s: online.windowed_moments(s, "ts", "value", "1 day", "1 hour", ["event_type"]), "complete", ["window_start", "event_type"])
+    return w.select("window_start", "event_type", "count", _r("mean").alias("mean"), _r("variance", 4).alias("variance"))
+
+
+@query(
+    "streaming_pearson",
+    f"SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round({_PEARSON.format(x='value', y='user_id')}, 6) AS pearson, round(covar_samp(value, user_id / 1000.0::DOUBLE), 4) AS covariance FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2",
+)
+def streaming_pearson(spark, d):
+    """Correlation and covariance by day from a stream over the table's file."""
+    from ..streaming import online
+
+    w = _drain(spark, d, lambda s: online.windowed_pearson(s.dropna(subset=["value", "user_id"]).withColumn("user", F.col("user_id") / 1000.0), "ts", "value", "user", "1 day", "1 hour", ["event_type"]), "complete", ["window_start", "event_type"])
+    return w.select("window_start", "event_type", "n", _r("pearson").alias("pearson"), _r("covariance", 4).alias("covariance"))
 
 
 @query("streaming_p_square")
 def streaming_p_square(spark, d):
     from ..streaming import online
 
-    return _drain(spark, d, lambda s: online.p_square(s, "event_type", "ts", "value", 0.9), "update", "p_square")
+    return _drain(spark, d, lambda s: online.p_square(s, "event_type", "ts", "value", 0.9), "update", ["event_type"])
 
 
-@query("streaming_rolling_window")
+@query(
+    "streaming_rolling_window",
+    """SELECT event_type, (least(n, 10) - b)::INT AS k, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS b, count(*) OVER (PARTITION BY event_type) AS n
+    FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL) WHERE b <= 10""",
+)
 def streaming_rolling_window(spark, d):
+    """The last ten values of each event type, oldest first."""
     from ..streaming import online
 
-    return _drain(spark, d, lambda s: online.rolling_window(s, "event_type", "ts", "value", 10), "update", "rolling")
+    w = _drain(spark, d, lambda s: online.rolling_window(s, "event_type", "ts", "value", 10), "update", ["event_type"])
+    return w.select("event_type", F.posexplode("window").alias("k", "value"))
 
 
-def _drain(spark, d, plan, mode: str, name: str) -> DataFrame:
-    table = f"quantloom_{name}"
+def _drain(spark, d, plan, mode: str, keys: list[str]) -> DataFrame:
+    """The last row of each key after a stream has read all; micro-batches are written to the shared folder."""
+    from ..streaming.online import written
+
     schema = panels.read(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    run = plan(source).writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(table)
-
+    return written(plan(source), mode, keys)

@@ -147,3 +147,11 @@ def test_sharpe_statistics(spark):
     one = spark.range(1)
     r = one.select(finance.deflated_sharpe(F.lit(1.0), F.lit(1), F.lit(2.0), F.lit(0.0), F.lit(3.0)).alias("d"), finance.haircut_sharpe(F.lit(0.2), F.lit(1), F.lit(1.0)).alias("h"), finance.minimum_track_record(F.lit(0.1), F.lit(0.2), F.lit(0.0), F.lit(3.0)).alias("m")).first()
     assert r.d.expected_max == 0 and np.isclose(r.h.haircut, 0.2) and r.m == math.inf
+
+
+def test_a_row_without_a_root_fails_alone(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, -1.0), (3, 9.0)], "k int, c double").withColumn("lower", F.lit(0.0)).withColumn("upper", F.lit(10.0)).coalesce(1)
+    for method in ("bisection", "brent", "newton_bracketed"):
+        got = {r.k: r for r in roots.solve(df, lambda x, rows: x * x - rows["c"].to_numpy(), method).collect()}
+        assert got[1].converged and got[3].converged and abs(got[3].root - 3) < 1e-6
+        assert not got[2].converged and (got[2].root is None or got[2].root != got[2].root)
