@@ -27,13 +27,19 @@ def newey_west(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str],
     """(keys, n, lags, variance): the variance of the mean with Bartlett weights.
 
     Each value meets its predecessors through one window that keeps the last
-    ``lags`` values, so there is no self-join.
+    ``lags`` values, so there is no self-join. For automatic lags the length of
+    the longest series, one number, is counted first: it sets the window.
     """
-    d = numbered(df.select(*keys, *order, F.col(x).cast("double").alias("x")).dropna(), keys, order)
+    rows = df.select(*keys, *order, F.col(x).cast("double").alias("x")).dropna()
+    d = numbered(rows, keys, order)
     d = d.withColumn("z", F.col("x") - F.avg("x").over(W.partitionBy(*keys)))
     count = automatic_lags(F.col("n")) if lags is None else F.lit(lags)
     d = d.withColumn("lags", F.least(count, F.col("n") - 1).cast("int"))
-    most = lags if lags is not None else 60  # the automatic number passes 60 beyond ten million values
+    if lags is None:
+        longest = rows.groupBy(*keys).count().agg(F.max("count").alias("n"))
+        most = longest.select(F.coalesce(automatic_lags(F.col("n")), F.lit(1))).first()[0]
+    else:
+        most = max(lags, 1)
     past = F.collect_list("z").over(W.partitionBy(*keys).orderBy("k").rowsBetween(-most, -1))
     d = d.withColumn("past", F.reverse(past))
     terms = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.size("past"), F.col("lags")), F.lit(1))), F.lit(0.0), lambda acc, l: acc + F.coalesce((1 - l / (F.col("lags") + 1)) * F.get("past", l - 1), F.lit(0.0)))
