@@ -4,11 +4,13 @@ Rules (host and path prefix, allow or block) come first: a rule fits its host
 and all subdomains if the path starts with the rule's; the longest wins. Other
 urls get the verdict of their host's reputation: labelled page outcomes are
 binomial counts, shrunk from suffix to registered domain to host. At each level
-the prior is a beta distribution whose mean is the parent's posterior mean and
-whose strength is estimated from all groups of the level by moments
+the prior is a beta distribution whose mean is the parent's posterior mean,
+from the labels of the parent's other children only, so that no label counts
+twice, and whose strength is estimated from all groups of the level by moments
 (overdispersion of the beta-binomial). A host is allowed if the lower bound of
-its posterior, mean - z * deviation, reaches ``least``; a host without labels
-has its domain's prior, an unknown domain that of its suffix.
+its posterior, mean - z * deviation (a normal approximation, rough for one or
+two labels), reaches ``least``; a host without labels has its domain's prior,
+an unknown domain that of its suffix.
 
 Labels are summed by host before anything is joined, so a hot host moves as
 one row for each task, and the pages meet the hosts' small rows last.
@@ -76,19 +78,21 @@ def strength(groups: DataFrame) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, domain, suffix, n, mean, lower) for every host of ``pages`` (host) ; outcomes: (host, good 0 or 1)."""
-    counts = outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("good").cast("double").alias("n"))
+    """(host, domain, suffix, n, mean, lower) for every host of ``pages`` (host); outcomes: (host, good, n), sums of labels."""
+    counts = outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.sum("n").cast("double").alias("n"))
     hosts = stash(pages.select("host").distinct().join(counts, "host", "left").na.fill(0.0, ["good", "n"]), "hosts")
     suffix, domain = domain_of(F.col("host"))
     hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("d_good"), F.sum("n").alias("d_n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("d_good").alias("s_good"), F.sum("d_n").alias("s_n"))
-    total = suffixes.agg(F.coalesce(F.try_divide(F.sum("s_good"), F.sum("s_n")), F.lit(0.5)).alias("mean0")).first()[0]
+    good, n = suffixes.agg(F.coalesce(F.sum("s_good"), F.lit(0.0)), F.coalesce(F.sum("s_n"), F.lit(0.0))).first()
     level = lambda df, g, n: strength(df.select(F.col(g).alias("good"), F.col(n).alias("n")).filter("n > 0"))
     h = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix")
     m_s, m_d, m_h = map(F.lit, (level(suffixes, "s_good", "s_n"), level(domains, "d_good", "d_n"), level(hosts, "good", "n")))
-    h = h.withColumn("s_mean", (m_s * total + F.col("s_good")) / (m_s + F.col("s_n")))
-    h = h.withColumn("d_mean", (m_d * F.col("s_mean") + F.col("d_good")) / (m_d + F.col("d_n")))
+    # each mean is made without the child that it is the prior of
+    h = h.withColumn("t_mean", F.when(F.col("s_n") < n, (good - F.col("s_good")) / (n - F.col("s_n"))).otherwise(0.5))
+    h = h.withColumn("s_mean", (m_s * F.col("t_mean") + F.col("s_good") - F.col("d_good")) / (m_s + F.col("s_n") - F.col("d_n")))
+    h = h.withColumn("d_mean", (m_d * F.col("s_mean") + F.col("d_good") - F.col("good")) / (m_d + F.col("d_n") - F.col("n")))
     size = m_h + F.col("n")
     h = h.withColumn("mean", (m_h * F.col("d_mean") + F.col("good")) / size)
     return h.select("host", "domain", "suffix", "n", "mean", (F.col("mean") - F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))).alias("lower"))
@@ -98,7 +102,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, least: float = LEAST
     """(key, host, path, rule, verdict, n_labels, mean, lower) of each page."""
     host, path = parts(url)
     pages = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    outcomes = pages.select("page_id", "host").distinct().join(labels.select(F.col(label_key).alias("page_id"), F.col(label).cast("int").alias("good")).filter("good is not null"), "page_id")
+    marks = labels.select(F.col(label_key).alias("page_id"), F.col(label).cast("int").alias("y")).filter("y is not null")
+    marks = marks.groupBy("page_id").agg(F.sum("y").alias("good"), F.count("y").alias("n"))
+    # only labelled pages are made distinct; a page that is there twice counts once
+    outcomes = pages.select("page_id", "host").join(marks, "page_id").distinct()
     known = reputation(pages, outcomes).select(F.col("host").alias("h"), F.col("n").cast("long").alias("n_labels"), "mean", "lower")
     verdict, rule = rule_for(rules)
     out = pages.join(known, F.col("host") == F.col("h"))
@@ -143,14 +150,14 @@ hosts AS (
   FROM split_),
 domains AS (SELECT suffix, domain, sum(good) AS d_good, sum(n) AS d_n FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(d_good) AS s_good, sum(d_n) AS s_n FROM domains GROUP BY suffix),
-total AS (SELECT coalesce(CASE WHEN sum(s_n) > 0 THEN sum(s_good) / sum(s_n) END, 0.5) AS mean0 FROM suffixes),
+total AS (SELECT sum(s_good) AS t_good, sum(s_n) AS t_n FROM suffixes),
 ms AS ({_strength("suffixes", "s_good", "s_n")}),
 md AS ({_strength("domains", "d_good", "d_n")}),
 mh AS ({_strength("hosts", "good", "n")}),
 a AS (
-  SELECT h.*, d_good, d_n, md.m AS m_d, mh.m AS m_h, (ms.m * mean0 + s_good) / (ms.m + s_n) AS s_mean
+  SELECT h.*, d_good, d_n, md.m AS m_d, mh.m AS m_h, (ms.m * CASE WHEN s_n < t_n THEN (t_good - s_good) / (t_n - s_n) ELSE 0.5 END + s_good - d_good) / (ms.m + s_n - d_n) AS s_mean
   FROM hosts h JOIN domains USING (suffix, domain) JOIN suffixes USING (suffix), total, ms, md, mh),
-b AS (SELECT *, (m_d * s_mean + d_good) / (m_d + d_n) AS d_mean FROM a),
+b AS (SELECT *, (m_d * s_mean + d_good - good) / (m_d + d_n - n) AS d_mean FROM a),
 c AS (SELECT host, n, m_h + n AS size, (m_h * d_mean + good) / (m_h + n) AS mean FROM b),
 d AS (SELECT host, n, mean, mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)) AS lower_ FROM c)
 SELECT page_id, host, path, CASE {_FITS.format(*(f"'{t}'" for _, t in _SORTED))} END AS rule,

@@ -495,6 +495,27 @@ def test_url_rules_and_reputation(spark):
         assert want[k][1:6] == (r.host, r.path, r.rule, r.verdict, r.n_labels) and abs(want[k][7] - r.lower) < 2e-6
 
 
+def test_a_label_counts_once(spark):
+    """A lone host's prior is made of the labels of others; repeated pages and other columns change nothing."""
+    pages = [(k, f"http://a{k % 4}.site{k % 8}.org/p") for k in range(40)] + [(90, "http://only.xyz/")]
+    labels = [(k, int(k % 8 > 2)) for k in range(40)] + [(90, 1), (90, 1)]
+    l = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {}
+    for rows in (pages, pages + pages[:20] + pages[-1:]):
+        p = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "page_id long, url string, host string, n double")
+        got[len(rows)] = {(r.page_id, r.n_labels, r.mean, r.lower) for r in urls.judge(p, l).collect()}
+    assert len(got) == 2 and len({frozenset(x) for x in got.values()}) == 1
+    own = {r[0]: r for r in got[41]}
+    hosts: dict[str, list[int]] = {}
+    for k, u in pages[:40]:
+        hosts.setdefault(u.split("/")[2], []).append(int(k % 8 > 2))
+    good, n = sum(map(sum, hosts.values())), sum(map(len, hosts.values()))
+    # the prior of the lone host is the mean of all others, whatever its strength m: mean = (m * prior + 2) / (m + 2)
+    prior, mean = good / n, own[90][2]
+    m = (2 - 2 * mean) / (mean - prior)
+    assert own[90][1] == 2 and prior < mean < 1 and 1 - 1e-4 <= m <= 199 + 1e-2
+
+
 # --- edges that hold for all --------------------------------------------------------------------------------------
 
 
