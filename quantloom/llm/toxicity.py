@@ -82,11 +82,6 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... of size[0] numbers, then those of the next."""
-    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-
-
 @dataclass
 class Index:
     """Labelled examples by their terms, and terms by their examples."""
@@ -126,7 +121,7 @@ class Index:
         self.__dict__.update(state)
 
     def _inverted(self):
-        """By term: cuts, examples and weights; a term's column among the frequent ones or -1; their matrix (columns x examples), and its maxima by block."""
+        """By term: cuts and postings, a number with the example below and the weight's bits above; a term's column among the frequent ones or -1; their matrix (columns x examples), and its maxima by block."""
         if "_by_term" not in self.__dict__:
             order = np.argsort(self.term, kind="stable")
             of = np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.cuts))
@@ -139,9 +134,10 @@ class Index:
             matrix[column[self.term[hit]], of[hit]] = self.weight[hit]
             heads = np.arange(0, len(self.toxic), BLOCK)
             peaks = np.maximum.reduceat(matrix, heads, axis=1) if len(heads) else matrix
-            seldom = column[self.term[order]] < 0
+            order = order[column[self.term[order]] < 0]
             n[often] = 0
-            self._by_term = np.concatenate(([0], np.cumsum(n))), of[order][seldom], self.weight[order][seldom], column, matrix, peaks
+            postings = np.stack((of[order], self.weight[order].view(np.int32)), axis=1).astype("<i4", copy=False).view("<i8").ravel()
+            self._by_term = np.concatenate(([0], np.cumsum(n))), postings, column, matrix, peaks
         return self._by_term
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +145,7 @@ class Index:
         return [x for s in range(0, len(vectors), BATCH) for x in self._batch(vectors[s : s + BATCH], k)]
 
     def _batch(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        cuts, of, weight, column, matrix, peaks = self._inverted()
+        cuts, postings, column, matrix, peaks = self._inverted()
         rows, n = len(vectors), len(self.toxic)
         row = np.repeat(np.arange(rows), [len(at) for at, _ in vectors])
         at, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
@@ -160,10 +156,12 @@ class Index:
         sums = np.zeros((rows, n), np.float32)
         for r, (own, u) in enumerate(vectors):
             seldom = column[own] < 0
-            lo, hi, u = cuts[own[seldom]], cuts[own[seldom] + 1], u[seldom].astype(np.float32)
-            spans = list(map(slice, lo.tolist(), hi.tolist()))
-            if spans:
-                sums[r] = np.bincount(np.concatenate([of[x] for x in spans]), np.concatenate([weight[x] for x in spans]) * np.repeat(u, hi - lo), n)
+            lo, hi = cuts[own[seldom]], cuts[own[seldom] + 1]
+            if len(lo):
+                found = np.concatenate([postings[x] for x in map(slice, lo.tolist(), hi.tolist())])
+                parts = found.view("<f4")[1::2] * np.repeat(u[seldom], hi - lo)
+                found &= 0xFFFFFFFF
+                sums[r] = np.bincount(found, parts, n)
         heads = np.arange(0, n, BLOCK)
         bound = asked @ peaks + np.maximum.reduceat(sums, heads, axis=1) + ERROR
         cos = np.full((rows, n), -np.inf, np.float32)
@@ -180,13 +178,16 @@ class Index:
         out = []
         whole = np.zeros(len(self.vocabulary))
         may = cos >= np.maximum(best.min(axis=1) - ERROR, 0)[:, None]
-        may &= cos > -ERROR
+        may &= cos > 0  # weights are positive, so a sum is 0 without a common term only
         for r, (own, u) in enumerate(vectors):
             now = np.flatnonzero(may[r])
             whole[own] = u
-            size = self.cuts[now + 1] - self.cuts[now]
-            place = _ranges(self.cuts[now], size)
-            exact = np.bincount(np.repeat(np.arange(len(now)), size), whole[self.term[place]] * self.weight[place], len(now))
+            lo, hi = self.cuts[now], self.cuts[now + 1]
+            spans = list(map(slice, lo.tolist(), hi.tolist()))
+            exact = np.zeros(len(now))
+            if spans:
+                common = whole.take(np.concatenate([self.term[x] for x in spans]))
+                exact = np.bincount(np.repeat(np.arange(len(now)), hi - lo), common * np.concatenate([self.weight[x] for x in spans]), len(now))
             whole[own] = 0
             now, exact = now[exact > 0], exact[exact > 0]
             first = np.lexsort((now, -np.round(exact, 12)))[:k]
