@@ -256,12 +256,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     counts = one.mapInArrow(count, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     found = counts.toArrow()
     h, n, hits = (found.column(c).to_numpy() for c in ("term", "n", "bad"))
+    del found
     order = np.argsort(h.view(np.uint64))
     vocabulary, n, hits = h.view(np.uint64)[order], n[order].astype(float), hits[order]
     z = np.where(n > 1, (hits - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9)), 0.0)
     index = Index(vocabulary, np.log((2 + total) / (1 + n)) * (FLOOR + (np.maximum(z, 0) / Z) ** 2), base)
     if not len(vocabulary):
         return index
+    del h, n, hits, z, order
+    X.trim()
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def embed(batches):
@@ -282,6 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     at, w = (got.column(c).combine_chunks() for c in ("at", "w"))
     index.cuts = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
     index.term, index.weight = at.flatten().to_numpy(), w.flatten().to_numpy()
+    del got, at, w
+    X.trim()
     return index.build()
 
 
@@ -290,6 +295,7 @@ def score(docs: DataFrame, index: Index, least: float = 0.5, text: str = "text")
     docs = docs.drop("score", "predicted")
     at, names = docs.columns.index(text), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    X.trim()
 
     def run(batches):
         index = shared.value
