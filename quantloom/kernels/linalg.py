@@ -172,7 +172,7 @@ def householder(x) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
 
 
 def ols(x, y, intercept: bool = True, refine: int = 3) -> dict:
-    """Least squares by pivoted QR, refined with residuals in extended precision."""
+    """Least squares by pivoted QR; coefficients and residuals are refined together in extended precision."""
     x = np.asarray(x, float)
     y = np.asarray(y, float)
     if intercept:
@@ -189,12 +189,16 @@ def ols(x, y, intercept: bool = True, refine: int = 3) -> dict:
     q, r, order = got
     wide = np.longdouble
     xl, yl = x.astype(wide), y.astype(wide)
-    beta = np.zeros(p, wide)
+    beta, rest = np.zeros(p, wide), np.zeros(m, wide)
+    # residuals are refined too: they must stay orthogonal to the design, however large they are
     for _ in range(1 + refine):
-        rest = (yl - xl @ beta).astype(float)
+        lack = (yl - rest - xl @ beta).astype(float)
+        slope = -((xl.T @ rest) / size)[order].astype(float)
+        turned = q.T @ lack - np.linalg.solve(r.T, slope)
         step = np.empty(p)
-        step[order] = np.linalg.solve(r, q.T @ rest)
+        step[order] = np.linalg.solve(r, turned)
         beta = beta + (step / size).astype(wide)
+        rest = rest + (lack - q @ turned)
     rest = (yl - xl @ beta).astype(float)
     rss = float((rest * rest).sum())
     dof = m - p

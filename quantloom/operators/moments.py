@@ -34,13 +34,20 @@ def moment_state(x) -> Column:
     return F.struct(F.count(x).alias("count"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), (F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)).alias("m2"))
 
 
-def merge_states(state: str) -> list[Column]:
-    """count, mean, variance of all states of a group, empty ones included."""
-    n, mean, m2 = (F.col(f"{state}.{f}") for f in ("count", "mean", "m2"))
-    total = F.sum(n)
-    centre = F.coalesce(F.try_divide(F.sum(n * mean), total), F.lit(0.0))
-    spread = F.sum(m2) + F.sum(n) * F.coalesce(F.try_divide(F.sum(n * mean * mean), total), F.lit(0.0)) - total * centre * centre
-    return [total.alias("count"), centre.alias("mean"), F.when(total > 1, spread / (total - 1)).otherwise(0.0).alias("variance")]
+def merged(df: DataFrame, state: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, count, mean, variance) of all states of each group, empty ones included.
+
+    Means are measured from their average in the group, found first, so that a
+    variance far smaller than the squared mean keeps its digits; both passes
+    combine before they shuffle.
+    """
+    of = lambda c: F.col(f"{state}.{c}")
+    centre = df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(of("count") > 0, of("mean"))), F.lit(0.0)).alias("__centre")).select(F.struct(*keys).alias("__of"), "__centre")
+    own = df.join(centre, F.struct(*keys).eqNullSafe(F.col("__of")))
+    n, off, total = of("count"), of("mean") - F.col("__centre"), F.sum(of("count"))
+    shift = F.coalesce(F.try_divide(F.sum(n * off), total), F.lit(0.0))
+    spread = F.sum(of("m2")) + F.sum(n * off * off) - total * shift * shift
+    return own.groupBy(*keys).agg(total.alias("count"), (F.first("__centre") + shift).alias("mean"), F.when(total > 1, spread / (total - 1)).otherwise(0.0).alias("variance"))
 
 
 def sample_skewness(x, strict: bool = False) -> Column:

@@ -96,8 +96,7 @@ def moments_query(spark, d):
 @query("moments_merged", "SELECT l_returnflag, count(l_quantity)::BIGINT AS n, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 4) AS variance FROM lineitem GROUP BY 1")
 def moments_merged(spark, d):
     li = panels.read(spark, d, "lineitem").groupBy("l_returnflag", F.date_trunc("month", "l_shipdate").alias("m")).agg(moments.moment_state("l_quantity").alias("s"))
-    n, mean, var = moments.merge_states("s")
-    return li.groupBy("l_returnflag").agg(n.alias("n"), _r(mean).alias("mean"), _r(var, 4).alias("variance"))
+    return moments.merged(li, "s", ["l_returnflag"]).select("l_returnflag", F.col("count").alias("n"), _r(F.col("mean")).alias("mean"), _r(F.col("variance"), 4).alias("variance"))
 
 
 _PEARSON = "CASE WHEN count(*) >= 3 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) ELSE 0 END"
