@@ -197,6 +197,10 @@ def link(pairs: DataFrame, larger: DataFrame, fetch: Callable[[DataFrame], DataF
     more = stash(rest(larger, comps, texts, search), "more")
     if more.isEmpty():
         return comps
-    # first components shrink to their labels
-    joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
-    return components(joined)
+    # first components shrink to their labels, and only labels that get new links are joined again
+    ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left")
+    ends = stash(ends.select("id", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNull().alias("new")), "ends")
+    side = lambda x: ends.select(F.col("id").alias(x), F.col("comp").alias(f"{x}_comp"))
+    merged = components(more.join(side("a"), "a").join(side("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    every = comps.select("id", "comp").unionByName(ends.filter("new").select("id", "comp"))
+    return every.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))

@@ -43,13 +43,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def packed(df: DataFrame, text: str = "text", name: str = "z") -> DataFrame:
+def packed(df: DataFrame, text: str = "text", name: str = "z", level: int = 3) -> DataFrame:
     """``df`` with each text compressed by itself, for a shuffle that is half as large; null is empty."""
     at, names = df.columns.index(text), [name if c == text else c for c in df.columns]
     schema = T.StructType([T.StructField(name, T.BinaryType()) if f.name == text else f for f in df.schema.fields])
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=level)
         for b in batches:
             z = [pack.compress(x.as_buffer() if x.is_valid else b"") for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()) if i == at else c for i, c in enumerate(b.columns)], names=names)

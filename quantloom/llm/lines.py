@@ -15,8 +15,10 @@ pairs in common, and the first of these, in any order that holds for all lines,
 is among the first pairs of both that the allowed edits cannot take away
 together. The order is by rarity in a sample, then by hash; it decides the cost
 and never the result. Lines that share such a pair meet if their lengths and
-the pair's place in both allow a link; then their texts are fetched, screened by
-counts of words in ``CELLS`` cells, and compared.
+the pair's place in both allow a link; then their texts are fetched and
+compared, in blocks after a screen by counts of words in ``CELLS`` cells. With its keys a line carries
+the parities of its words' counts in 128 cells: an edit changes one of them, or
+two if it changes a word, so most pairs end where a key brings them together.
 
 Defined cases: null and empty texts have no lines to lose and stay as they are;
 lines shorter than both limits, and lines without a word, are never removed;
@@ -53,13 +55,18 @@ SAMPLE, FREQUENT, SLOTS = 2048, 1 << 17, 22
 ROUNDS = 64
 #: A bucket up to the first size gives the pairs of lines that may be linked, a larger one meets leader by leader and in
 #: blocks; up to the second it is parted first into lines that no chain of such pairs joins.
-SMALL, ALL_PAIRS = 64, 2048
+SMALL, ALL_PAIRS = 1 << 14, 1 << 14
+#: Buckets up to this size are paired many at a time; parts of larger ones with more pairs a line than MESHED, or buckets
+#: with more than MOST pairs in all, meet leader by leader like the largest, so copies are not expanded.
+TINY, MESHED, MOST = 64, 8, 1 << 20
 #: Members of a bucket that are compared with one of them.
 FAN = 512
 #: Bytes of text that are cut into keys together, and keys that travel together.
 CHUNK, FLUSH = 4 << 20, 1 << 20
 #: The place of a pair that its line has more than once.
 ANYWHERE = 0xFFFFFFFF
+#: Columns of keys: pair, line, number of words, place, parities.
+KINDS = ("<u8", "<i8", "<u4", "<u4", "<u8", "<u8")
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -76,13 +83,15 @@ def normal(line: bytes) -> bytes:
 
 def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """Word hashes of a chunk; of each line with ``min_words`` words or more its first word, end, document, number and the hash of its normal form."""
-    keep = ~_PUNCT[data]
-    before = np.concatenate(([0], np.cumsum(keep)))
-    low, at = _NORM[data[keep]], before[offs]
+    low = np.frombuffer(data.tobytes().translate(_TABLE, _DROP), np.uint8)
+    before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~_PUNCT[data], out=before[1:])
+    at = before[offs].astype(np.int64)
     s, e, doc = X.words(low, at)
     # the number of line ends before each word, counted from its document's start
-    ends = np.concatenate(([0], np.cumsum(low == 0x0A)))
-    line = ends[s] - ends[at[doc]] if len(s) else s
+    ends = np.zeros(len(low) + 1, np.int32)
+    np.cumsum(low == 0x0A, out=ends[1:])
+    line = (ends[s] - ends[at][doc]).astype(np.int64) if len(s) else s
     h = X.span_hash(low, s, e)
     first = np.flatnonzero(np.append([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))[: len(s)])
     head, last = first, np.append(first[1:], len(s))[: len(first)]
@@ -95,6 +104,13 @@ def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarr
     return h, first, last, doc[first], line[first], mark.view(np.int64)
 
 
+def parities(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of word hashes the parities of their counts in 128 cells, a bit each, in two numbers."""
+    bit = np.uint64(1) << (word >> np.uint64(58))
+    side = (word & np.uint64(1 << 57)).astype(bool)
+    return np.bitwise_xor.reduce(np.where(side, 0, bit), axis=1), np.bitwise_xor.reduce(np.where(side, bit, 0), axis=1)
+
+
 def line_marks(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
     """Of each line with ``min_words`` words or more: document, line number, hash of the normal form, number of its words and their counts by cell, 4 bits each in two numbers."""
     h, first, last, doc, line, mark = _split(data, offs, min_words)
@@ -160,7 +176,7 @@ def _apart(rank: np.ndarray) -> np.ndarray:
 
 
 def line_keys(data: np.ndarray, offs: np.ndarray, least: float, table: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """(pair, hash of the normal form, number of words, place): the pairs by which linked lines meet; table: rarity()'s.
+    """(pair, hash of the normal form, number of words, place, parities): the pairs by which linked lines meet; table: rarity()'s.
 
     Lines of one length are worked on together. A repeat of a line in the chunk gives no keys.
     """
@@ -188,9 +204,10 @@ def line_keys(data: np.ndarray, offs: np.ndarray, least: float, table: np.ndarra
             np.put_along_axis(rank, by, np.broadcast_to(np.arange(n + 1, dtype=np.int32), by.shape), axis=1)
             picked = np.cumsum(np.take_along_axis(_apart(rank), by, axis=1), axis=1)
             # for each number of edits: pairs up to the one that these edits cannot reach, or more pairs than they can take
-            wanted = np.zeros(len(own), np.int64)
-            for k, most in zip(*losses(n, least), strict=True):
-                wanted = np.maximum(wanted, np.minimum((picked <= k).sum(axis=1), most) + 1)
+            edits, most = losses(n, least)
+            cells = np.arange(len(own))[:, None] * (edits[-1] + 2) + np.minimum(picked, edits[-1] + 1)
+            upto = np.cumsum(np.bincount(cells.ravel(), minlength=len(own) * (edits[-1] + 2)).reshape(len(own), -1), axis=1)
+            wanted = np.minimum(upto[:, edits], most).max(axis=1) + 1
             key = np.take_along_axis(key, by, axis=1)
             again = np.zeros(key.shape, bool)
             again[:, 1:] = key[:, 1:] == key[:, :-1]
@@ -198,9 +215,9 @@ def line_keys(data: np.ndarray, offs: np.ndarray, least: float, table: np.ndarra
             several[:, :-1] |= again[:, 1:]
             i, j = np.nonzero((np.arange(n + 1) < wanted[:, None]) & ~again)
             place = by[i, j]
-            out.append((pair[i, place], mark[own[i]], np.full(len(i), n, np.uint32), np.where(several[i, j], ANYWHERE, place).astype(np.uint32)))
+            out.append((pair[i, place], mark[own[i]], np.full(len(i), n, np.uint32), np.where(several[i, j], ANYWHERE, place).astype(np.uint32), *(x[i] for x in parities(word[:, 1:-1]))))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        return tuple(np.zeros(0, kind) for kind in KINDS)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -211,42 +228,96 @@ def rarity(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return table
 
 
-def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows in any order the pairs that small buckets give, and the rows of larger buckets with their buckets' numbers, ascending.
+def _meets(n: tuple, place: tuple, odd: tuple, edits: np.ndarray) -> np.ndarray:
+    """Whether lines may be linked by a key; each argument has both sides, edits are most_edits() by number of words.
 
-    Two lines may be linked by a key if its pair of words stays where it is
-    while words come and go before and after it: the shifts of its distances
-    from both line ends need as many edits.
+    Its pair of words stays where it is while words come and go before and after
+    it: the shifts of its distances from both line ends need as many edits.
     """
-    row = np.lexsort((place, of, key))
+    (a, b), (p, q), (x, y) = n, place, odd
+    k, more = edits[np.maximum(a, b)], np.abs(a - b)
+    near = np.where((p == ANYWHERE) | (q == ANYWHERE), more, np.abs(p - q) + np.abs((a - p) - (b - q))) <= k
+    return near & (np.bitwise_count(x ^ y).sum(axis=0, dtype=np.int64) <= 2 * k - more)
+
+
+def _bucket_pairs(n: np.ndarray, place: np.ndarray, odd: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs of rows of one bucket that may be linked, or None if they are more than MOST; rows ascend by number of words."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    total, size = 0, len(n)
+    most = np.minimum(2 * edits[n], 255).astype(np.uint8)
+    end = np.searchsorted(n - edits[n], n, "right")  # a longer line further on needs too many words more
+    end = np.maximum.accumulate(end)
+    for lo in range(0, size, 128):
+        hi = min(lo + 128, size)
+        j = slice(lo, int(end[hi - 1]))
+        apart = np.bitwise_count(odd[0, lo:hi, None] ^ odd[0, j]) + np.bitwise_count(odd[1, lo:hi, None] ^ odd[1, j])
+        x, y = np.nonzero(apart <= most[j])
+        x, y = x + lo, y + lo
+        x, y = x[x < y], y[x < y]
+        ok = _meets((n[x], n[y]), (place[x], place[y]), (odd[:, x], odd[:, y]), edits)
+        found.append((x[ok], y[ok]))
+        total += len(found[-1][0])
+        if total > MOST:
+            return None
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def _parts(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``size`` rows the least one that pairs x, y join it with."""
+    label = np.arange(size)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, x, label[y])
+        np.minimum.at(lower, y, label[x])
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def bring_together(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray, odd: np.ndarray, odd2: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in any order the pairs that small buckets give, and the rows of larger or meshed buckets with their buckets' numbers, ascending."""
+    row = np.argsort(key)
+    rank = np.cumsum(np.diff(key[row], prepend=key[row[:1]]) != 0)
+    # an occurrence of each line by key and number of words; the others are equal to it
+    row = row[np.lexsort((of[row], rank << 32 | n[row]))]
     k, o = key[row], of[row]
     row = row[np.append([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]))] if len(row) else row
     k = key[row]
     first = np.flatnonzero(np.append([True], k[1:] != k[:-1])) if len(row) else row
     size = np.diff(np.append(first, len(row)))
-    n, place = n[row].astype(np.int64), place[row].astype(np.int64)
+    n, place, odd = n[row].astype(np.int64), place[row].astype(np.int64), np.stack((odd[row], odd2[row]))
+    edits = most_edits(np.arange(n.max(initial=0) + 1), least)
     bucket = np.where(np.repeat(size > SMALL, size), np.repeat(first, size), -1)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
+    for s in np.unique(size[(size > 1) & (size <= min(TINY, SMALL))]).tolist():
         heads = first[size == s]
-        for x in range(0, len(heads), step := max(1, (1 << 20) // (s * s))):
-            at = heads[x : x + step, None] + np.arange(s)
-            a, b = n[at][:, :, None], n[at][:, None, :]
-            p, q = place[at][:, :, None], place[at][:, None, :]
-            edits = most_edits(np.maximum(a, b), least)
-            near = np.where((p == ANYWHERE) | (q == ANYWHERE), np.abs(a - b), np.abs(p - q) + np.abs((a - p) - (b - q))) <= edits
-            if s <= SMALL:
-                g, i, j = np.nonzero(near & np.triu(np.ones((s, s), bool), 1))
-                left.append(row[at[g, i]])
-                right.append(row[at[g, j]])
-                continue
-            label = at
-            while True:  # the least row that each reaches
-                lower = np.where(near, label[:, None, :], len(row)).min(axis=2)
-                if (lower == label).all():
-                    break
-                label = lower
-            bucket[at] = label
+        i, j = np.triu_indices(s, 1)
+        for x in range(0, len(heads), step := max(1, (1 << 18) // len(i))):
+            at = heads[x : x + step, None]
+            i_at, j_at = (at + i).ravel(), (at + j).ravel()
+            ok = _meets((n[i_at], n[j_at]), (place[i_at], place[j_at]), (odd[:, i_at], odd[:, j_at]), edits)
+            left.append(row[i_at[ok]])
+            right.append(row[j_at[ok]])
+    for at, s in zip(*(v[(size > min(TINY, SMALL)) & (size <= ALL_PAIRS)].tolist() for v in (first, size)), strict=True):
+        own = slice(at, at + s)
+        bucket[own] = at
+        pairs = _bucket_pairs(n[own], place[own], odd[:, own], edits)
+        if pairs is None:
+            continue
+        x, y = pairs
+        if s > SMALL:
+            bucket[own] = at + _parts(s, x, y)
+        elif len(x) > MESHED * s or len(x) > TINY * TINY:
+            label = _parts(s, x, y)
+            meshed = np.bincount(label[x], minlength=s) > MESHED * np.bincount(label, minlength=s)
+            bucket[own] = np.where(meshed[label], at + label, -1)
+            x, y = x[~meshed[label[x]]], y[~meshed[label[x]]]
+        else:
+            bucket[own] = -1
+        if s <= SMALL:
+            left.append(row[at + x])
+            right.append(row[at + y])
     at = np.flatnonzero(bucket >= 0)
     at = at[np.bincount(bucket[at], minlength=1)[bucket[at]] > 1]
     at = at[np.argsort(bucket[at], kind="stable")]
@@ -319,7 +390,14 @@ def near(a: list[bytes], b: list[bytes], least: float, in_a: set[bytes] | None =
     # words in common, repeats of a's included, are at least those that stay in place
     if n - (len(in_a & in_b) + len(a) - len(in_a)) > most:
         return False
-    return distance(a, b, most) <= most
+    k, end = 0, min(len(a), len(b))
+    while k < end and a[k] == b[k]:
+        k += 1
+    j = 0
+    while j < end - k and a[-1 - j] == b[-1 - j]:
+        j += 1
+    # what is left can be replaced word by word, or is compared
+    return n - k - j <= most or distance(a[k : len(a) - j], b[k : len(b) - j], most) <= most
 
 
 def _read(notes: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -367,22 +445,23 @@ def frequent_words(docs: DataFrame, min_words: int) -> np.ndarray:
                 u, n = np.unique(np.concatenate((pair, right, left[left == 2])), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["pair", "n"])
 
-    some = docs.orderBy("th", "doc_id").limit(SAMPLE).select("text")
+    some = docs.filter(F.pmod(F.xxhash64("th", "doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0).limit(2 * SAMPLE).select("text")
     got = some.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "pair").limit(FREQUENT).toArrow()
     return rarity(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
 
-def _pack(key: np.ndarray, of: np.ndarray, n: np.ndarray, place: np.ndarray) -> bytes:
+def _pack(key: np.ndarray, *rest: np.ndarray) -> bytes:
     """Rows sorted by key: steps between the keys' upper 48 bits, and the byte planes of all numbers."""
     step = np.diff(key >> np.uint64(16), prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).ravel() for x, kind in ((step, "<u8"), (of, "<i8"), (n, "<u4"), (place, "<u4"))]
+    planes = [np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).ravel() for x, kind in zip((step, *rest), KINDS, strict=True)]
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    rows, out, at = len(raw) // 24, [], 0
-    for kind, width in (("<u8", 8), ("<i8", 8), ("<u4", 4), ("<u4", 4)):
+    widths = [int(kind[2:]) for kind in KINDS]
+    rows, out, at = len(raw) // sum(widths), [], 0
+    for kind, width in zip(KINDS, widths, strict=True):
         out.append(np.ascontiguousarray(raw[at : at + width * rows].reshape(width, rows).T).view(kind).ravel())
         at += width * rows
     return np.cumsum(out[0], dtype=np.uint64), *out[1:]
@@ -423,15 +502,17 @@ def candidates(docs: DataFrame, least: float, min_words: int) -> DataFrame:
         X.trim()
 
     def meet(t: pa.Table) -> pa.Table:
-        key, of, n, place = (np.concatenate(x) for x in zip(*map(_unpack, t.column("part").to_pylist()), strict=True))
+        rows = [np.concatenate(x) for x in zip(*map(_unpack, t.column("part").to_pylist()), strict=True)]
+        key = rows[0]
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         shared = np.zeros(len(order), bool)
         shared[1:] |= same
         shared[:-1] |= same
         at = order[shared]
-        key, of, n, place = key[at], of[at], n[at], place[at]
-        a, b, at, bucket = bring_together(key, of, n, place, least)
+        rows = [x[at] for x in rows]
+        key, of = rows[:2]
+        a, b, at, bucket = bring_together(*rows, least)
         pairs = np.unique(np.stack((np.minimum(of[a], of[b]), np.maximum(of[a], of[b])), axis=1), axis=0)
         key, own = key[at], of[at]
         at, lead, via, size = groups(bucket, own)
@@ -454,33 +535,21 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
     def mark(batches):
         for b in batches:
             for i, _, data, offs in X.chunks(b.column("text")):
-                doc, line, h, size, cells = line_marks(data, offs, min(exact_words, min_words))
+                _, _, _, doc, line, h = _split(data, offs, min(exact_words, min_words))
                 if len(doc):
                     at = pa.array(doc + i)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h), pa.array(size), *(pa.array(x) for x in cells.T)], names=["doc_id", "th", "line", "id", "size", "c0", "c1"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), pa.array(line), pa.array(h)], names=["doc_id", "th", "line", "id"])
             X.trim()
 
     found = stash(candidates(docs, least, min_words), "buckets")
-    lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long, size long, c0 long, c1 long"), "lines")
+    lines = stash(docs.mapInArrow(mark, f"doc_id {kind}, th long, line long, id long"), "lines")
     pairs = stash(found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
-    def screened(batches):
-        for t in batches:
-            one, two = ({c: t.column(f"{side}{c}").to_numpy() for c in ("size", "c0", "c1")} for side in "ab")
-            cells = [cell_counts(np.stack((x["c0"], x["c1"]), axis=1)) for x in (one, two)]
-            yield t.select(["a", "b"]).filter(pa.array(_possible(*cells, one["size"], two["size"], least)))
-
-    notes = ("size", "c0", "c1")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = lines.join(ids, "id").groupBy("id").agg(*(F.min(c).alias(c) for c in notes))  # they are equal for an id
-    side = lambda x: known.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}{c}") for c in notes))
-    pairs = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(screened, "a long, b long"), "screened")
-
     def fetch(ids: DataFrame) -> DataFrame:
         """(id, note): normalised lines of ids, each from one occurrence."""
         place = lines.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"))
         asks = place.groupBy(F.col("at.doc_id").alias("d"), F.col("at.th").alias("h")).agg(F.collect_list(F.struct("id", "at.line")).alias("asks"))
-        both = packed(docs).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("z", "asks")
+        both = packed(docs, level=1).join(asks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("z", "asks")
 
         def cut(batches):
             unpack = zstandard.ZstdDecompressor()
@@ -504,11 +573,8 @@ def duplicates(docs: DataFrame, least: float, min_words: int, exact_words: int)
 
         def test(batches):
             for t in batches:
-                (x, n, cx), (y, m, cy) = (_read(t.column(c).to_pylist()) for c in ("na", "nb"))
-                ok = _possible(cx, cy, n, m, least) if t.num_rows else np.zeros(0, bool)
-                for k in np.flatnonzero(ok).tolist():
-                    ok[k] = near(x[k], y[k], least)
-                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
+                ok = [near(x.split(b" "), y.split(b" "), least) for x, y in zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return both.select("a", "b", "na", "nb").mapInArrow(test, "a long, b long")
 

@@ -256,6 +256,62 @@ def test_lines_within_the_limit_meet(known, monkeypatch):
     assert [len(w) for w in words] == size.tolist() and lines._possible(cells[i], cells[j], size[i], size[j], 0.8).all()
 
 
+def lettered(k: int) -> str:
+    """A word of its own for each number; digits are all the same to lines."""
+    return "w" + "".join("abcdefghij"[int(c)] for c in str(k))
+
+
+def keys_of(texts: list[str]) -> list[np.ndarray]:
+    data = "\n".join(texts).encode()
+    return list(lines.line_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0.8, lines.rarity(np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+
+
+def test_unrelated_lines_of_a_common_pair_end_in_their_bucket():
+    r = random.Random(5)
+    texts = [" ".join([lettered(r.randrange(9000)) for _ in range(20)]) for _ in range(400)]
+    texts += [" ".join([*texts[k].split()[:19], "other"]) for k in range(0, 400, 40)]
+    rows = keys_of(texts)
+    rows[0] = np.zeros_like(rows[0])  # one bucket of all lines, each at its first place
+    rows[3] = np.full_like(rows[3], lines.ANYWHERE)
+    a, b, at, _ = lines.bring_together(*rows, 0.8)
+    assert not len(at)  # no line goes on to a leader or into blocks
+    assert sorted({tuple(sorted((int(rows[1][i]), int(rows[1][j])))) for i, j in zip(a, b, strict=True)}) == sorted(
+        tuple(sorted((int(x), int(y)))) for x, y in ((keys_of([texts[i]])[1][0], keys_of([texts[j]])[1][0]) for i, j in line_links(texts))
+    )
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_meshed_lines_are_not_expanded(most, monkeypatch):
+    monkeypatch.setattr(lines, "MOST", most)
+    r = random.Random(6)
+    line = [lettered(k) for k in range(40)]
+    texts = list(dict.fromkeys(" ".join(changed(line, 2, r)) for _ in range(300)))
+    texts += [" ".join(lettered(1000 + r.randrange(9000)) for _ in range(40)) for _ in range(200)]
+    rows = keys_of(texts)
+    rows[0], rows[3] = np.zeros_like(rows[0]), np.full_like(rows[3], lines.ANYWHERE)
+    a, _, at, bucket = lines.bring_together(*rows, 0.8)
+    assert len(a) == 0 and len(set(bucket.tolist())) == 1
+    # the copies alone stay together, or the whole bucket if its pairs are too many to hold
+    assert len(at) == len(set(rows[1][at].tolist())) == (len(texts) - 200 if most > 50 else len(texts))
+
+
+def test_joined_components_meet_again(spark):
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (8, 9)], "a long, b long")
+    larger = spark.createDataFrame([(7, i, 2, 5) for i in (2, 4, 6, 10, 11)], "key long, id long, lead long, n long")
+
+    class Near(lines.Search):
+        def prepare(self, notes):
+            return notes.to_pylist()
+
+        def find(self, ready, i, j):
+            return np.array([ready[k] == ready[i] for k in j.tolist()])
+
+    notes = {2: b"x", 4: b"x", 6: b"y", 10: b"x", 11: b"z"}
+    fetch = lambda ids: ids.select("id").toDF("id").rdd.map(lambda r: (r.id, notes.get(r.id, b"?"))).toDF("id long, note binary")
+    got = {r.id: r.comp for r in lines.link(pairs, larger, fetch, lambda p, _: p, Near()).collect()}
+    assert {k: got.get(k, k) for k in (*range(1, 7), *range(8, 12))} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 8: 8, 9: 8, 10: 1, 11: 11}
+
+
 def test_large_buckets_are_dealt_in_parts():
     key = np.repeat(np.array([3, 5, 9], np.uint64), [1, 1200, 2])
     of = np.random.default_rng(0).permutation(len(key)).astype(np.int64)
