@@ -4,7 +4,7 @@ Members of a bucket are first compared with its leader only (the smallest id; a
 large bucket is dealt in parts whose leaders are compared with the bucket's).
 After verification the links are joined to components. Buckets that still hold
 two components or more are searched in a second pass: members outside the
-leader's component are a query set that meets all members of other components
+largest of them are a query set that meets all members of other components
 in blocks. So every pair of a bucket is either in one component already or has
 been compared, and no group is ever held or paired in one task.
 """
@@ -82,24 +82,19 @@ def rest(buckets: DataFrame, comps: DataFrame, texts: DataFrame, search: Search,
     buckets: star()'s rows of buckets of three or more; comps: (id, comp);
     texts: (id, note) for search. Buckets with equal members are searched once.
     """
-    own = comps.select("id", "comp")
-    lead_of = comps.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
-    b = (
-        buckets.join(own, "id", "left")
-        .join(lead_of, "lead", "left")
-        .select("key", "id", "lead", F.coalesce("comp", "id").alias("comp"), F.coalesce("lead_comp", "lead").alias("lead_comp"))
-        .withColumn("out", F.col("comp") != F.col("lead_comp"))
-    )
-    # buckets with members outside the leader's component, one of those with the same members
+    b = buckets.select("key", "id").join(comps.select("id", "comp"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    # buckets with members outside their largest component, one of those with the same members
     mixed = (
-        b.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("n_out"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-        .filter("n_out > 0")
+        b.groupBy("key", "comp")
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        .filter("n > most.n")
         .groupBy("x", "y", "n")
-        .agg(F.min("key").alias("key"), F.max("n_out").alias("n_out"))
-        .select("key", F.ceil(F.col("n") / block).cast("int").alias("n_all"), F.ceil(F.col("n_out") / block).cast("int").alias("n_query"))
+        .agg(F.min(F.struct("key", "most")).alias("one"))
+        .select("one.key", F.col("one.most.comp").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("n_all"), F.ceil((F.col("n") - F.col("one.most.n")) / block).cast("int").alias("n_query"))
     )
-    b = b.join(mixed, "key").join(texts, "id")
+    b = b.join(mixed, "key").withColumn("out", F.col("comp") != F.col("largest")).join(texts, "id")
     part = lambda c: F.pmod(F.xxhash64("id", F.lit(3)), F.col(c)).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     place = lambda q, a, asks: F.struct(q.alias("qi"), a.alias("ai"), F.lit(asks).alias("query"))
