@@ -5,13 +5,14 @@ terms of the labelled examples are used and all examples are indexed, clean ones
 included. A term weighs its IDF, more if labelled toxic texts have it clearly
 more often than others, and never nothing; counts are taken over distinct texts.
 Texts are searched a batch at a time. The postings of their seldom terms are
-summed in full; the ``DENSE`` most frequent terms stand as a matrix, in blocks
-of ``BLOCK`` examples with the largest weight of each term. A block is multiplied
-out for those texts only that its maxima and sums allow one of the k best, and
-every example that may be among these is compared again in double precision, so
-the neighbours are exact. Votes are weighted by cosine; together with the share
-of toxic examples, as a prior, they give the score. evidence() returns the
-neighbours themselves, by the smallest id of the example's text.
+summed in full; the ``DENSE`` most frequent terms stand as a matrix of bytes, in
+blocks of ``BLOCK`` examples. Its codes and those of a text are rounded up, so a
+product of whole numbers (by onnxruntime, or by numpy without it) and the sum
+bound the cosine from above, and every example that may be among the k best is
+compared in double precision, so the neighbours are exact. Votes are weighted by
+cosine; together with the share of toxic examples, as a prior, they give the
+score. evidence() returns the neighbours themselves, by the smallest id of the
+example's text.
 
 At most ``FIT_ROWS`` labelled rows, by the hash of their ids, are used, so the
 index has a fixed bound.
@@ -42,8 +43,12 @@ NEIGHBOURS = 15
 PREFIXES = (4, 6)
 #: A term's weight is its IDF times FLOOR + (z / Z) ** 2, z > 0 being its distance from chance in toxic texts.
 FLOOR, Z = 0.05, 8.0
-#: Frequent terms held as a matrix, examples in a block, texts in a batch, and the error that single precision may make.
-DENSE, BLOCK, BATCH, ERROR = 1024, 512, 64, 2e-5
+#: Frequent terms held as a matrix of codes, examples in a block, texts in a batch, and the error that single precision may make.
+DENSE, BLOCK, BATCH, ERROR = 4096, 1024, 256, 2e-5
+#: Terms of more than WIDE times the usual weight stay out of the matrix; the code of an example's least weight, and what rounding may add to a code.
+WIDE, ONCE, SLACK = 3.0, 23, 1e-4
+#: Examples in a stripe at most; bounds of this part of the k-th largest are compared at once; the lower half of a number.
+STRIPE, MARGIN, LOW = 64, 0.985, 0xFFFFFFFF
 #: Top bits of a term's hash in the table that finds it.
 SLOTS = 22
 PRIOR_WEIGHT = 0.5
@@ -73,15 +78,61 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(lead, offs)
     s, e, doc = X.edges(is_letter[cp], at)
     low = small[cp].view(np.uint8)
-    span = lambda a, b: X.span_hash(low, 4 * a, 4 * b)
-    out, of = [span(s, e)], [doc]
-    for k in PREFIXES:
-        longer = e - s > k
-        out.append(X.mix(span(s[longer], s[longer] + k) + np.uint64(k)))
-        of.append(doc[longer])
+    # two letters a step, each a bijection, so the words and their first letters are hashed together
+    eight = X._eights(low)
+    size = e - s
+    state = np.full(len(s), 0x5851F42D4C957F2D, np.uint64)
+    out, of = [state], [doc]
+    at, k = np.arange(len(s)), 0
+    while len(at := at[size[at] > k]) and k < X.LONG // 4:
+        two = eight[4 * (s[at] + k)]
+        two[size[at] == k + 1] &= np.uint64(0xFFFFFFFF)
+        state[at] = X.mix(state[at] ^ two)
+        k += 2
+        if k in PREFIXES:
+            longer = at[size[at] > k]
+            out.append(X.mix(state[longer] + np.uint64(k)))
+            of.append(doc[longer])
+    out[0] = X.mix(state)
+    if len(at):
+        out[0][at] = X.span_hash(low, 4 * s[at], 4 * e[at])
     return np.concatenate(out), np.concatenate(of)
 
 
+def _codes(x: np.ndarray, most: int) -> np.ndarray:
+    """Positive numbers rounded up to 1..most, but for SLACK."""
+    return np.clip(np.ceil(x - SLACK), 1, most).astype(np.uint8)
+
+
+@lru_cache(1)
+def _session():
+    """A product of byte matrices with sums of 32 bits, or None without onnxruntime."""
+    try:
+        import onnxruntime
+    except ImportError:
+        return None
+    # the model MatMulInteger(A, B) = Y as an ONNX protobuf: a field's number and kind, its length, its bytes
+    field_ = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    whole = lambda number, x: bytes([number << 3, x])
+    sides = lambda name, kind, dims: field_(1, name) + field_(2, field_(1, whole(1, kind) + field_(2, b"".join(field_(1, field_(2, d)) for d in dims))))
+    node = field_(1, b"A") + field_(1, b"B") + field_(2, b"Y") + field_(4, b"MatMulInteger")
+    graph = field_(1, node) + field_(2, b"g") + field_(11, sides(b"A", 2, (b"M", b"K"))) + field_(11, sides(b"B", 3, (b"K", b"N"))) + field_(12, sides(b"Y", 6, (b"M", b"N")))
+    model = whole(1, 8) + field_(7, graph) + field_(8, field_(1, b"") + whole(2, 13))
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1
+    options.enable_cpu_mem_arena = False
+    options.log_severity_level = 3
+    return onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+
+
+def _multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of a matrix of bytes and one of signed bytes."""
+    session = _session()
+    if session is None or not a.shape[1]:
+        return a.astype(np.float32) @ b.astype(np.float32)
+    return session.run(None, {"A": a, "B": b})[0]
+
+
 @dataclass
 class Index:
     """Labelled examples by their terms, and terms by their examples."""
@@ -121,79 +172,114 @@ class Index:
         self.__dict__.update(state)
 
     def _inverted(self):
-        """By term: cuts and postings, a number with the example below and the weight's bits above; a term's column among the frequent ones or -1; their matrix (columns x examples), and its maxima by block."""
+        """By term: cuts and postings, a double near the weight whose lower half is the example; a term's column among the frequent ones or -1; by example the value of a code, and the codes in blocks (columns x examples)."""
         if "_by_term" not in self.__dict__:
-            order = np.argsort(self.term, kind="stable")
-            of = np.repeat(np.arange(len(self.toxic), dtype=np.int32), np.diff(self.cuts))
             n = np.bincount(self.term, minlength=len(self.vocabulary))
-            column = np.full(len(n), -1, np.int32)
             often = np.argsort(-n, kind="stable")[:DENSE]
+            often = often[(n[often] > 0) & (self.idf[often] > 0)]
+            often = often[self.idf[often] <= WIDE * np.median(self.idf[often])] if len(often) else often
+            column = np.full(len(n), -1, np.int32)
             column[often] = np.arange(len(often))
-            matrix = np.zeros((len(often), len(self.toxic)), np.float32)
-            hit = column[self.term] >= 0
-            matrix[column[self.term[hit]], of[hit]] = self.weight[hit]
-            heads = np.arange(0, len(self.toxic), BLOCK)
-            peaks = np.maximum.reduceat(matrix, heads, axis=1) if len(heads) else matrix
-            order = order[column[self.term[order]] < 0]
             n[often] = 0
-            postings = np.stack((of[order], self.weight[order].view(np.int32)), axis=1).astype("<i4", copy=False).view("<i8").ravel()
-            self._by_term = np.concatenate(([0], np.cumsum(n))), postings, column, matrix, peaks
+            cuts = np.concatenate(([0], np.cumsum(n)))
+            value = np.zeros(-(-len(self.toxic) // BLOCK) * BLOCK, np.float32)
+            codes = np.zeros((len(value) // BLOCK, len(often), BLOCK), np.int8)
+            postings, free = np.empty(cuts[-1], "<i8"), cuts[:-1].copy()
+            for j in range(len(codes)):  # a block at a time, as workers share the executor's memory
+                ends = self.cuts[j * BLOCK : (j + 1) * BLOCK + 1]
+                own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                term, weight = self.term[ends[0] : ends[-1]], self.weight[ends[0] : ends[-1]]
+                at = column[term]
+                hit = np.flatnonzero(at >= 0)
+                if len(hit):
+                    # over its term's weight an example's weight tells only how often it has the term, so codes are small
+                    tf = weight[hit] / self.idf[term[hit]]
+                    first = np.flatnonzero(np.diff(own[hit], prepend=-1))
+                    unit = np.zeros(len(ends) - 1, np.float32)
+                    unit[own[hit[first]]] = np.maximum(np.minimum.reduceat(tf, first) / ONCE, np.maximum.reduceat(tf, first) / 127)
+                    value[j * BLOCK : j * BLOCK + len(unit)] = unit
+                    codes[j, at[hit], own[hit]] = _codes(tf / unit[own[hit]], 127)
+                rest = np.flatnonzero(at < 0)
+                rest = rest[np.argsort(term[rest], kind="stable")]
+                u, first, several = np.unique(term[rest], return_index=True, return_counts=True)
+                place = np.arange(len(rest)) + np.repeat(free[u] - first, several)
+                postings[place] = (weight[rest].astype("<f8").view("<i8") & ~LOW) | (own[rest] + j * BLOCK)
+                free[u] += several
+            self._by_term = cuts, postings, column, value, codes
+            del free
+            X.trim()
         return self._by_term
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each unit vector (terms, weights) the k examples of largest cosine (over 0), and the cosines."""
-        return [x for s in range(0, len(vectors), BATCH) for x in self._batch(vectors[s : s + BATCH], k)]
+        parts = max(1, round(len(vectors) / BATCH))
+        cuts = [len(vectors) * i // parts for i in range(parts + 1)]
+        return [x for a, e in zip(cuts, cuts[1:], strict=False) if a < e for x in self._batch(vectors[a:e], k)]
 
     def _batch(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        cuts, postings, column, matrix, peaks = self._inverted()
-        rows, n = len(vectors), len(self.toxic)
-        row = np.repeat(np.arange(rows), [len(at) for at, _ in vectors])
-        at, w = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
-        at = at.astype(np.int64)
-        dense = column[at] >= 0
-        asked = np.zeros((rows, len(matrix)), np.float32)
-        asked[row[dense], column[at[dense]]] = w[dense]
-        sums = np.zeros((rows, n), np.float32)
+        cuts, postings, column, value, codes = self._inverted()
+        rows, n = len(vectors), len(value)
+        bound = np.zeros((rows, n), np.float32)  # no cosine is larger, but for ERROR
+        row = np.repeat(np.arange(rows), [len(own) for own, _ in vectors])
+        term, weight = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        at = column[term]
+        often = at >= 0
+        row, at, w = row[often], at[often], weight[often] * self.idf[term[often]]
+        step = np.zeros(rows)
+        np.maximum.at(step, row, w / 255)
+        asked = np.zeros((rows, codes.shape[1]), np.uint8)
+        asked[row, at] = _codes(w / step[row], 255)
+        step = (step * (1 + 4 * SLACK)).astype(np.float32)[:, None]
         for r, (own, u) in enumerate(vectors):
             seldom = column[own] < 0
-            lo, hi = cuts[own[seldom]], cuts[own[seldom] + 1]
+            own = own[seldom]
+            lo, hi = cuts[own], cuts[own + 1]
             if len(lo):
                 found = np.concatenate([postings[x] for x in map(slice, lo.tolist(), hi.tolist())])
-                parts = found.view("<f4")[1::2] * np.repeat(u[seldom], hi - lo)
-                found &= 0xFFFFFFFF
-                sums[r] = np.bincount(found, parts, n)
-        heads = np.arange(0, n, BLOCK)
-        bound = asked @ peaks + np.maximum.reduceat(sums, heads, axis=1) + ERROR
-        cos = np.full((rows, n), -np.inf, np.float32)
-        best = np.zeros((rows, k), np.float32)  # the k largest so far, zeros until there are so many
-        for j in np.argsort(-bound.max(axis=0), kind="stable").tolist():
-            need = np.flatnonzero(bound[:, j] >= best.min(axis=1))
-            if not len(need):
-                continue
-            block = slice(heads[j], min(heads[j] + BLOCK, n))
-            got = sums[need, block] + asked[need] @ matrix[:, block]
-            cos[need, block] = got
-            both = np.concatenate((best[need], got), axis=1)
-            best[need] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                parts = found.view("<f8") * np.repeat(u[seldom], hi - lo)
+                found &= LOW
+                bound[r] = np.bincount(found, parts, n)
+        for j, block in enumerate(codes):
+            some = slice(j * BLOCK, (j + 1) * BLOCK)
+            part = _multiply(asked, block).astype(np.float32)
+            part *= step
+            part *= value[some]
+            bound[:, some] += part
+        # the largest of each stripe: the k-th of these is no larger than the k-th of all
+        tops = np.maximum.reduceat(bound, np.arange(0, n, STRIPE), axis=1)
+        few = tops.shape[1] - k
+        tops = np.partition(tops, few, axis=1)[:, few] if few > 0 else np.zeros(rows)
         out = []
-        whole = np.zeros(len(self.vocabulary))
-        may = cos >= np.maximum(best.min(axis=1) - ERROR, 0)[:, None]
-        may &= cos > 0  # weights are positive, so a sum is 0 without a common term only
+        whole, known = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary), bool)
+        least_bound = np.finfo(np.float32).tiny  # weights are positive, so a bound is 0 without a common term only
         for r, (own, u) in enumerate(vectors):
-            now = np.flatnonzero(may[r])
-            whole[own] = u
-            lo, hi = self.cuts[now], self.cuts[now + 1]
-            spans = list(map(slice, lo.tolist(), hi.tolist()))
-            exact = np.zeros(len(now))
-            if spans:
-                common = whole.take(np.concatenate([self.term[x] for x in spans]))
-                exact = np.bincount(np.repeat(np.arange(len(now)), hi - lo), common * np.concatenate([self.weight[x] for x in spans]), len(now))
-            whole[own] = 0
+            whole[own], known[own] = u, True
+            # some of the largest bounds give the least cosine that the others have to reach
+            top = max(MARGIN * tops[r], least_bound)
+            now = np.flatnonzero(bound[r] >= top)
+            exact = self._cosines(known, whole, now)
+            least = np.partition(exact, len(now) - k)[len(now) - k] - ERROR if len(now) >= k else 0
+            if least < top and top > least_bound:
+                more = np.flatnonzero((bound[r] >= max(least, least_bound)) & (bound[r] < top))
+                now, exact = np.concatenate((now, more)), np.concatenate((exact, self._cosines(known, whole, more)))
+            known[own] = False
             now, exact = now[exact > 0], exact[exact > 0]
             first = np.lexsort((now, -np.round(exact, 12)))[:k]
             out.append((now[first], exact[first]))
         return out
 
+    def _cosines(self, known: np.ndarray, whole: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """The cosines of examples with a vector: whether it has a term, and the weights, of all terms."""
+        lo, hi = self.cuts[examples], self.cuts[examples + 1]
+        spans = list(map(slice, lo.tolist(), hi.tolist()))
+        if not spans:
+            return np.zeros(0)
+        term = np.concatenate([self.term[x] for x in spans])
+        common = np.flatnonzero(known.take(term))  # few are, and the table of these is small
+        of = np.repeat(np.arange(len(examples)), hi - lo)[common]
+        place = common + (hi - np.cumsum(hi - lo))[of]
+        return np.bincount(of, whole.take(term[common]) * self.weight[place], len(examples))
+
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The scores of a chunk's documents."""
         found = self.vectors(data, offs)
@@ -280,12 +366,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     kind = docs.schema[key].dataType.simpleString()
     got = one.mapInArrow(embed, f"mark long, y int, id {kind}, at array<int>, w array<float>").filter(F.size("at") > 0).toArrow()
     shared.destroy()
-    got = got.sort_by("mark").combine_chunks()
-    index.toxic, index.ids = got.column("y").to_numpy().astype(float), got.column("id").to_pylist()
-    at, w = (got.column(c).combine_chunks() for c in ("at", "w"))
-    index.cuts = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
-    index.term, index.weight = at.flatten().to_numpy(), w.flatten().to_numpy()
-    del got, at, w
+    # rows by mark, copied once, as the driver has little memory
+    order = np.argsort(got.column("mark").to_numpy(), kind="stable")
+    index.toxic = got.column("y").to_numpy()[order].astype(float)
+    index.ids = got.column("id").take(pa.array(order)).to_pylist()
+    size = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in got.column("at").chunks)]).astype(np.int64)
+    index.cuts = np.concatenate(([0], np.cumsum(size[order])))
+    place = np.empty(len(order), np.int64)
+    place[order] = index.cuts[:-1]
+    index.term, index.weight = np.empty(index.cuts[-1], np.int32), np.empty(index.cuts[-1], np.float32)
+    for c, into in (("at", index.term), ("w", index.weight)):
+        row = 0
+        for chunk in got.column(c).chunks:
+            flat, k = chunk.flatten().to_numpy(), 0
+            for to, n in zip(place[row : row + len(chunk)].tolist(), size[row : row + len(chunk)].tolist(), strict=True):
+                into[to : to + n] = flat[k : k + n]
+                k += n
+            row += len(chunk)
+    flat = chunk = None
+    del got
     X.trim()
     return index.build()
 
@@ -295,6 +394,8 @@ def score(docs: DataFrame, index: Index, least: float = 0.5, text: str = "text")
     docs = docs.drop("score", "predicted")
     at, names = docs.columns.index(text), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    del index
+    vars(shared).pop("_value", None)  # the driver reads it again if it is asked for
     X.trim()
 
     def run(batches):
@@ -337,5 +438,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: toxicity of every document; the index has not seen the fold with remainder 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    index = train(docs, labels.filter(remainder("doc_id", 5) != 0))
-    return score(docs.withColumn("held_out", remainder("doc_id", 5) == 0), index).select("doc_id", "held_out", "score", "predicted")
+    return score(docs.withColumn("held_out", remainder("doc_id", 5) == 0), train(docs, labels.filter(remainder("doc_id", 5) != 0))).select("doc_id", "held_out", "score", "predicted")

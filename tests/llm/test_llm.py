@@ -502,6 +502,31 @@ def test_nearest_is_exact(monkeypatch):
             assert np.allclose(every[got], cos, atol=1e-6)
 
 
+def test_nearest_compares_few_examples(monkeypatch):
+    r = np.random.default_rng(1)
+    n, terms = 3000, 400
+    tf = r.poisson(np.minimum(3, 40 / np.arange(1, terms + 1)), (n, terms))
+    idf = np.log(n / (1 + (tf > 0).sum(axis=0))) + 0.05
+    dense = np.where(tf > 0, (1 + np.log(np.maximum(tf, 1))) * idf, 0)
+    dense /= np.sqrt((dense**2).sum(axis=1))[:, None]
+    index = toxicity.Index(np.arange(terms, dtype=np.uint64), idf, 0.1, np.zeros(n))
+    index.weights = [{int(t): float(row[t]) for t in np.flatnonzero(row)} for row in dense]
+    index.build()
+    asked = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in dense[:80]]
+    compared, cosines = [], toxicity.Index._cosines
+    monkeypatch.setattr(toxicity.Index, "_cosines", lambda self, known, whole, examples: compared.append(len(examples)) or cosines(self, known, whole, examples))
+    for most in (toxicity.DENSE, 50):
+        monkeypatch.setattr(toxicity, "DENSE", most)
+        for product in (toxicity._multiply, lambda a, b: a.astype(np.float32) @ b.astype(np.float32)):  # with onnxruntime and without
+            monkeypatch.setattr(toxicity, "_multiply", product)
+            index.__dict__.pop("_by_term", None)
+            compared.clear()
+            for q, (got, cos) in zip(dense, index.nearest(asked), strict=False):
+                every = dense @ q
+                assert np.allclose(cos, np.sort(every)[::-1][:15], atol=1e-6) and np.allclose(every[got], cos, atol=1e-6)
+            assert index._inverted()[4].dtype == np.int8 and 15 * 80 <= sum(compared) < 80 * n / 10
+
+
 def test_toxicity_indexes_every_example_and_term(spark):
     rows = [(k, prose(30, 500 + k) + (" vileword" if k < 3 else "")) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
