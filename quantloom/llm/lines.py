@@ -84,14 +84,11 @@ def normal(line: bytes) -> bytes:
 def _split(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """Word hashes of a chunk; of each line with ``min_words`` words or more its first word, end, document, number and the hash of its normal form."""
     low = np.frombuffer(data.tobytes().translate(_TABLE, _DROP), np.uint8)
-    before = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(~_PUNCT[data], out=before[1:])
-    at = before[offs].astype(np.int64)
+    at = offs - np.searchsorted(np.flatnonzero(_PUNCT[data]), offs)
     s, e, doc = X.words(low, at)
     # the number of line ends before each word, counted from its document's start
-    ends = np.zeros(len(low) + 1, np.int32)
-    np.cumsum(low == 0x0A, out=ends[1:])
-    line = (ends[s] - ends[at][doc]).astype(np.int64) if len(s) else s
+    ends = np.flatnonzero(low == 0x0A)
+    line = np.cumsum(np.bincount(np.searchsorted(s, ends), minlength=len(s) + 1))[: len(s)] - np.searchsorted(ends, at)[doc] if len(s) else s
     h = X.span_hash(low, s, e)
     first = np.flatnonzero(np.append([True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))[: len(s)])
     head, last = first, np.append(first[1:], len(s))[: len(first)]

@@ -266,6 +266,17 @@ def keys_of(texts: list[str]) -> list[np.ndarray]:
     return list(lines.line_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0.8, lines.rarity(np.zeros(0, np.uint64), np.zeros(0, np.int64))))
 
 
+def test_lines_are_numbered_in_their_documents():
+    r = np.random.default_rng(0)
+    letters = np.frombuffer(b"ab c\n\n\t,.;1-\r A", np.uint8)
+    for _ in range(200):
+        offs = np.concatenate(([0], np.cumsum(r.integers(0, 40, r.integers(1, 6)))))
+        data = letters[r.integers(0, len(letters), offs[-1])]
+        plain = [(k, i, len(words)) for k in range(len(offs) - 1) for i, line in enumerate(data[offs[k] : offs[k + 1]].tobytes().split(b"\n")) if (words := [w for w in lines.normal(line).split(b" ") if w])]
+        _, first, last, doc, line, _ = lines._split(data, offs, 1)
+        assert list(zip(doc.tolist(), line.tolist(), (last - first).tolist(), strict=True)) == plain
+
+
 def test_unrelated_lines_of_a_common_pair_end_in_their_bucket():
     r = random.Random(5)
     texts = [" ".join([lettered(r.randrange(9000)) for _ in range(20)]) for _ in range(400)]
